@@ -191,6 +191,7 @@ def gapless(df: DataFrame, group: list[str], order: list[str], name: str) -> Dat
     """
     mark, part = free_name(df, "_mark"), free_name(df, "_part")
     base, ahead, n = (free_name(df, x) for x in ("_base", "_ahead", "_n"))
+    df = stored(df)  # range partitioning looks at its input twice
     kept = stored(df.repartitionByRange(*group, *order).sortWithinPartitions(*group, *order).withColumn(mark, F.monotonically_increasing_id()))
     kept = kept.withColumn(part, F.shiftright(mark, 33))
     runs = kept.groupBy(*group, part).agg(F.min(mark).alias(base), F.count(F.lit(1)).alias(n))
