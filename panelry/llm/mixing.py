@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import WORD, free_name, small, stored
+from .common import WORD, small, stored
 
 #: Hex digits of the document's hash, and how many each refinement looks at.
 DIGITS, STEP = 12, 3
@@ -77,33 +77,48 @@ def thresholds(rows: DataFrame, goals: DataFrame) -> DataFrame:
     return out.select("source", "source_size", "target", "epochs", "threshold", F.coalesce("closed", F.lit(False)).alias("closed"))
 
 
+def hash_digits(key: str = "doc_id") -> Column:
+    return F.substring(F.md5(F.coalesce(F.col(key).cast("string"), F.lit("null"))), 1, DIGITS)
+
+
 def keyed(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size, hex): the narrow rows that all decisions are made on, written once."""
-    digits = F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))), 1, DIGITS)
-    return stored(docs.select("doc_id", "source", n_words().alias("size"), digits.alias("hex")))
+    """(doc_id, source, size, hex): the narrow rows that thresholds are found on, written once."""
+    return stored(docs.select("doc_id", "source", n_words().alias("size"), hash_digits().alias("hex")))
 
 
-def decide(rows: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
-    """(doc_id, source, size, hex) with source_size, target and copies: how often the mix takes each row.
+def source_ends(rows: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> DataFrame:
+    """One row per source: source_size, target, epochs, threshold, closed. See thresholds().
 
-    A null source is a source of its own. Rows without words, or with equal doc_id, are decided by the same thresholds.
-    Rerunning gives the same mix. The last pass joins one row per source; it shuffles nothing while sources are few.
+    A null source is a source of its own. A source without words has target 0, and none of its rows is taken.
     """
     goals = stored(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, most))
-    ends = stored(thresholds(rows.where("size > 0"), goals)).withColumnRenamed("source", "_s")
-    joined = rows.join(small(ends, ends.count()), F.col("source").eqNullSafe(F.col("_s")), "inner")
-    below = (F.col("hex") < F.col("threshold")) | ((F.col("hex") == F.col("threshold")) & F.col("closed"))
+    return stored(thresholds(rows.where("size > 0"), goals))
+
+
+def with_copies(rows: DataFrame, ends: DataFrame, hex_digits: str = "hex", *, name: str = "copies") -> DataFrame:
+    """Adds source_size, target and copies: how often the mix takes each row. Rows with equal doc_id share a decision.
+
+    One row per source is joined; nothing is shuffled while sources are few, whatever the size of the hot ones.
+    """
+    side = ends.select(F.col("source").alias("_s"), "source_size", "target", "epochs", "threshold", "closed")
+    joined = rows.join(small(side, ends.count()), F.col("source").eqNullSafe(F.col("_s")), "inner")
+    below = (F.col(hex_digits) < F.col("threshold")) | ((F.col(hex_digits) == F.col("threshold")) & F.col("closed"))
     more = F.when(F.col("threshold").isNotNull() & below, F.lit(1)).otherwise(F.lit(0))
-    return joined.select(*rows.columns, "source_size", "target", (F.col("epochs") + more).cast("int").alias("copies"))
+    return joined.select(*[rows[c] for c in rows.columns], "source_size", "target", (F.col("epochs") + more).cast("int").alias(name))
+
+
+def decide(rows: DataFrame, **options) -> DataFrame:
+    return with_copies(rows, source_ends(rows, **options))
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The documents as the mix takes them: absent, once, or as many rows as copies; columns stay as they are.
 
-    Each row carries its own decision through the passes as a narrow key, so rows that share a doc_id share it too.
+    Texts are read twice, to size them and to copy them, and never shuffled. Extra columns may have any name.
     """
-    copies = free_name(docs, "_copies")
-    plan = decide(keyed(docs), **options).groupBy(F.col("doc_id").alias("_id")).agg(F.max("copies").alias(copies))
-    joined = docs.join(plan.where(F.col(copies) > 0), F.col("doc_id").eqNullSafe(F.col("_id")), "inner")
-    repeat = free_name(docs, "_repeat")
-    return joined.withColumn(repeat, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*[joined[c] for c in docs.columns])
+    ends = source_ends(keyed(docs), **options)
+    place = {c: f"_c{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "source")}
+    renamed = docs.withColumnsRenamed(place).withColumn("hex", hash_digits())
+    copies = with_copies(renamed, ends)
+    repeated = copies.where("copies > 0").withColumn("repeat", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    return repeated.select(*[F.col(place.get(c, c)).alias(c) for c in docs.columns])
