@@ -182,6 +182,20 @@ def blobs(values: np.ndarray, first: np.ndarray) -> pa.Array:
     return pa.array([bytes(raw[a * size : b * size]) for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)], pa.binary())
 
 
+def summed_chunks(chunks: DataFrame) -> Iterator[tuple[int, np.ndarray]]:
+    """Adds up arrays that tasks have cut into (chunk, counts as int64 bytes); the driver gets each sum once."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for c, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                total[c] = total.get(c, 0) + np.frombuffer(raw, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())], ["chunk", "counts"])
+
+    for row in chunks.select("chunk", "counts").repartition("chunk").mapInArrow(add, "chunk int, counts binary").toLocalIterator():
+        yield row["chunk"], np.frombuffer(row["counts"], np.int64)
+
+
 def gapless(df: DataFrame, group: list[str], order: list[str], name: str) -> DataFrame:
     """Numbers 0, 1, 2, ... inside each group by the order, without ever holding a group in one task.
 
