@@ -1,0 +1 @@
+"""Empty on purpose: the engine is a batch engine and has no streaming operators."""
