@@ -36,14 +36,14 @@ def src_station_json(spark, sf):
     return formats.parse_stations(rows.select(F.to_json("m").alias("payload"))).select("station_id", "station_name", "latitude", "active_from")
 
 
-@query("src_station_fwf", "SELECT s_suppkey AS station_id, '1999-12-31' AS von_datum, s_name AS name, s_acctbal AS latitude FROM supplier")
+@query("src_station_fwf", "SELECT s_suppkey AS station_id, '1999-12-31' AS von_datum, s_name AS station_name, s_acctbal AS latitude FROM supplier")
 def src_station_fwf(spark, sf):
     s = t.source(spark, sf, "supplier")
     pad = lambda c, n: F.rpad(c, n, " ")
     line = F.concat(F.lpad(F.col("s_suppkey").cast("string"), 5, "0"), F.lit(" 19991231 20240101 "), F.lpad(F.lit("12"), 14, " "), F.lit(" "), F.lpad(F.format_string("%.2f", "s_acctbal"), 10, " "), F.lit(" "), F.lpad(F.lit("9.5"), 9, " "), F.lit("  "), pad(F.col("s_name"), 40), F.lit(" "), pad(F.lit("Land"), 40))
     lines = s.select(line.alias("line"))
     extra = t.source(spark, sf, "region").where("r_regionkey < 2").select(F.when(F.col("r_regionkey") == 0, "Stations_id von_datum").otherwise("").alias("line"))
-    return formats.parse_fixed_width(lines.union(extra)).select("station_id", F.col("von_datum").cast("string").alias("von_datum"), "name", "latitude")
+    return formats.parse_fixed_width(lines.union(extra)).select("station_id", F.col("von_datum").cast("string").alias("von_datum"), "station_name", "latitude")
 
 
 @query("src_weather_csv", "SELECT o_custkey AS dwd_station_id, o_orderdate AS timestamp, CASE WHEN o_orderkey % 9 > 0 THEN o_totalprice END AS pressure_msl_hpa FROM orders")

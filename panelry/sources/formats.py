@@ -14,7 +14,7 @@ STATION_CASTS = {"station_id": "long", "longitude": "double", "latitude": "doubl
 #: Product columns to metric names. Sea-level pressure is P, not P0.
 PARAMETER_COLUMNS = {"air_temperature": {"TT_TU": "temperature_c", "RF_TU": "humidity_pct"}, "wind": {"F": "wind_speed_ms", "D": "wind_direction_deg"}, "pressure": {"P": "pressure_msl_hpa"}, "precipitation": {"R1": "precipitation_mm"}}
 #: Column slices of the station list (name, start, length).
-STATION_SLICES = [("station_id", 1, 5), ("von_datum", 7, 8), ("bis_datum", 16, 8), ("altitude_m", 25, 14), ("latitude", 40, 10), ("longitude", 51, 9), ("name", 62, 40), ("state", 103, 40)]
+STATION_SLICES = [("station_id", 1, 5), ("von_datum", 7, 8), ("bis_datum", 16, 8), ("height_m", 25, 14), ("latitude", 40, 11), ("longitude", 52, 9), ("station_name", 62, 41), ("bundesland", 103, 41)]
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
@@ -75,7 +75,7 @@ def parse_fixed_width(lines: DataFrame, line: str = "line") -> DataFrame:
     """Header lines and blanks have no number in the id slice and go."""
     cut = {name: F.trim(F.substring(line, start, size)) for name, start, size in STATION_SLICES}
     date = lambda c: F.to_date(F.try_to_timestamp(c, F.lit("yyyyMMdd")))
-    casts = {"station_id": "long", "altitude_m": "double", "latitude": "double", "longitude": "double"}
+    casts = {"station_id": "long", "height_m": "double", "latitude": "double", "longitude": "double"}
     cols = [date(c).alias(n) if n.endswith("datum") else c.try_cast(casts.get(n, "string")).alias(n) for n, c in cut.items()]
     return lines.select(*cols).where(F.col("station_id").isNotNull())
 
