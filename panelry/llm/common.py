@@ -233,7 +233,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 200)
     factor a round. Only narrow tables are shuffled, and each round is written and read again.
     """
     live = stored(edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a < b").distinct())
-    maps = []
+    maps: list[DataFrame] = []
     for k in range(rounds):
         if live.isEmpty():
             break
@@ -253,6 +253,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 200)
     for step in maps[1:]:
         nxt = step.select(F.col("v").alias("root"), F.col("p").alias("up"))
         out = out.join(nxt, "root", "left").select("node", F.coalesce("up", "root").alias("root"))
+    if len(maps) <= 4:
+        return stored(out)
     out = stored(out)
     least = out.groupBy("root").agg(F.min("node").alias("least"))
     return stored(out.join(least, "root").select("node", F.col("least").alias("root")))
