@@ -19,10 +19,13 @@ from pyspark.sql import types as T
 
 from .html_pages import labelled_pages
 
-#: Elements that start a block, those without an end tag, and those whose text is never shown.
+#: Elements that start a block, and those whose text is never shown.
 BLOCKS = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("script style template noscript head iframe object svg canvas textarea select option".split())
+HIDDEN = frozenset("script style template noscript head title iframe object svg canvas textarea select datalist option".split())
+#: What may stand in a head; anything else ends one whose end tag is left out.
+IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
+#: Hidden elements that may lack an end tag and still hide what they hold: it is implied, or the page ends in raw text.
+MAY_STAY_OPEN = frozenset("head option script style".split())
 #: Opening one of these ends the open ones named beside it, up to the nearest of the last column.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
 EDGE_KINDS = {"p": 1, "h1": 2, "h2": 2, "h3": 2, "h4": 2, "li": 3, "ul": 3, "ol": 3, "div": 4, "section": 4, "article": 5, "main": 5}
@@ -45,12 +48,14 @@ class Tree:
 
 
 class _Builder(HTMLParser):
-    def __init__(self) -> None:
+    def __init__(self, shown: frozenset[tuple[int, int]] = frozenset()) -> None:
         super().__init__(convert_charrefs=True)
         self.tree = Tree()
         self.open: list[tuple[str, int]] = []
         self.text: list[str] = []
-        self.hidden = self.links = 0
+        self.hidden: list[tuple[str, tuple[int, int]]] = []
+        self.shown = shown
+        self.links = 0
         self._node("", ())
 
     def _node(self, tag: str, names: tuple[str, ...], label: int | None = None) -> None:
@@ -75,9 +80,23 @@ class _Builder(HTMLParser):
         self.flush()
         del self.open[upto:]
 
+    def _imply_end(self, tag: str) -> None:
+        """End tags that a start tag implies: of an open option, and of an open head."""
+        if self.hidden[-1][0] == "option" and (tag in BLOCKS or tag in ("option", "optgroup", "select")):
+            self.hidden.pop()
+        elif self.hidden[-1][0] == "head" and tag not in IN_HEAD:
+            self.hidden.pop()
+        elif tag == "body":
+            names = [x for x, _ in self.hidden]
+            if "head" in names and "template" not in names:
+                del self.hidden[names.index("head") :]
+
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
-        if self.hidden or tag in HIDDEN:
-            self.hidden += tag not in VOID and (not self.hidden or tag in HIDDEN)
+        if self.hidden:
+            self._imply_end(tag)
+        if tag in HIDDEN and self.getpos() not in self.shown:
+            self.hidden.append((tag, self.getpos()))
+        if self.hidden:
             return
         if tag == "a":
             self.links = 1
@@ -115,8 +134,13 @@ class _Builder(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag: str) -> None:
+        if self.hidden and self.hidden[-1][0] == "option" and tag in BLOCKS:
+            self.hidden.pop()
         if self.hidden:
-            self.hidden -= tag in HIDDEN
+            for i in range(len(self.hidden) - 1, -1, -1):
+                if self.hidden[i][0] == tag:
+                    del self.hidden[i:]
+                    break
             return
         if tag == "a":
             self.links = 0
@@ -127,6 +151,8 @@ class _Builder(HTMLParser):
                     break
 
     def handle_data(self, data: str) -> None:
+        if self.hidden and self.hidden[-1][0] == "head" and data.strip():
+            self.hidden.pop()
         if self.hidden:
             return
         self.text.append(data)
@@ -137,9 +163,16 @@ class _Builder(HTMLParser):
 
 
 def parse(html: str) -> Tree:
-    builder = _Builder()
-    builder.feed(html)
-    builder.close()
+    """The page's tree. Hidden elements that are never closed (say, an iframe) hide nothing: the page is read again so."""
+    shown: frozenset[tuple[int, int]] = frozenset()
+    while True:
+        builder = _Builder(shown)
+        builder.feed(html)
+        builder.close()
+        left = {at for tag, at in builder.hidden if tag not in MAY_STAY_OPEN}
+        if not left:
+            break
+        shown |= left
     builder.flush()
     return builder.tree
 

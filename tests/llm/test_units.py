@@ -206,6 +206,40 @@ def test_page_text(page_model):
     assert html_extract.main_texts([page, None, ""], page_model) == ["A & B title\nFirst line is a sentence.\nSecond one, with words.", "", ""]
 
 
+def said(page):
+    return [text for _, text in html_extract.parse(page).units]
+
+
+@pytest.mark.parametrize(
+    ("page", "texts"),
+    [
+        ("<html><head><title>t</title><meta charset=x><body><p>One.</p></body></html>", ["One."]),
+        ("<html><head><title>t</title><p>One.<p>Two.", ["One.", "Two."]),
+        ("<head><title>t</title>One.", ["One."]),
+        ("<head><noscript><img src=x></noscript><title>t</title></head><p>One.", ["One."]),
+        ("<head><noscript><link><body><p>One.<noscript>x</noscript>", ["One."]),
+        ("<article><p>One.</p><select><option>a<option>b</select><p>Two.</p></article>", ["One.", "Two."]),
+        ("<select><optgroup><option>a<optgroup><option>b</optgroup></select><p>One.", ["One."]),
+        ("<p>One.<datalist><option>a<option>b</datalist><p>Two.", ["One.", "Two."]),
+        ("<div><option>a</div>One.", ["One."]),
+        ("<p>One.</p><select><option>a<option>b<p>Two.</p>", ["One.", "Two."]),
+        ("<p>One.</p><svg><object>x</svg><p>Two.</p>", ["One.", "Two."]),
+        ("<p>One.</p><iframe src=x><p>Two.</p><iframe>x</iframe><p>Three.", ["One.", "Two.", "Three."]),
+        ("<p>One.</p><template><p>x</template></svg></option><p>Two.<script>var a", ["One.", "Two."]),
+        *((f"<p>One.</p><{x}><p>Two.</p>", ["One.", "Two."]) for x in ("noscript", "iframe", "svg", "object", "canvas")),
+    ],
+)
+def test_omitted_end_tags_of_hidden_elements(page, texts):
+    assert said(page) == texts
+
+
+def test_many_unclosed_hidden_elements_take_two_readings(monkeypatch):
+    made = []
+    monkeypatch.setattr(html_extract, "_Builder", type("Counted", (html_extract._Builder,), {"__init__": lambda self, *a: (made.append(1), super(type(self), self).__init__(*a))[1]}))
+    assert said("<p>One.</p>" + "<iframe><object><svg></svg><p>Two.</p>" * 300) == ["One."] + ["Two."] * 300
+    assert len(made) == 2
+
+
 def test_windows_name_equal_phrases():
     words = [f"w{i % 97}" for i in range(300)]
     a = " ".join(words[50:200])
