@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import free_name, gapless, steps, stored, text_bytes
-from .tokens import default_vocabulary, encoder
+from .tokens import declared_encoder, default_vocabulary
 
 CAPACITY, END = 1024, 2
 
@@ -107,7 +107,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = N
     schema = T.StructType(fields + ([T.StructField("ids", T.ArrayType(T.LongType()))] if keep_ids else []))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode
+        encode = declared_encoder(path).encode
         for batch in batches:
             data, offsets = text_bytes(batch.column(1))
             for i, j in steps(offsets):

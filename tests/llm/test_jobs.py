@@ -124,6 +124,11 @@ def test_packing_round_trip(spark):
     assert whole == {k: sum(n for _, n in v) for k, v in used.items()}
 
 
+def test_packed_ids_know_the_declared_token(spark):
+    got = packing.pieces(frame(spark, ["a <|endoftext|> b"]), keep_ids=True).collect()
+    assert [x.ids for x in got] == [[64, 220, 50256, 275, packing.END]]
+
+
 def test_mix_meets_targets_and_reruns_agree(spark):
     r = random.Random(5)
     docs = frame(spark, ["w " * r.randint(1, 30) for _ in range(900)], ["abcd"[min(3, i % 7)] for i in range(900)])

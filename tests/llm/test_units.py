@@ -149,6 +149,23 @@ def test_ids_equal_the_tokenizers():
     assert [x.tolist() for x in got] == [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
+def unmodified_ids(texts):
+    public = pytest.importorskip("public_tokenizers")
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public.path("byte_bpe_50k.json"))
+    return [e.ids for e in t.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_ids_equal_the_unmodified_tokenizers():
+    end = "<|endoftext|>"
+    texts = ["", f"a {end} b", f"{end}{end}", f"  {end}  \n x", f"a  {end}\n", "<|endoftext|", f"<{end}>", "<|ENDOFTEXT|> don't 中文", f"é{end}é" * 300]
+    want = unmodified_ids(texts)
+    assert want[1] == [64, 220, 50256, 275]
+    got = tokens.declared_encoder(tokens.default_vocabulary()).encode(texts)
+    assert [x.tolist() for x in got] == want
+
+
 def test_overlap_thresholds_and_subsets():
     for n, m in itertools.product(range(1, 40), repeat=2):
         least = next(i for i in range(n + m + 1) if 100 * i >= 80 * (n + m - i))
