@@ -166,6 +166,13 @@ def test_ids_equal_the_unmodified_tokenizers():
     assert [x.tolist() for x in got] == want
 
 
+@pytest.mark.parametrize("blank", [" ", "\n", "\u3000", " \t"])
+def test_ids_of_long_blanks_equal_the_tokenizers(blank):
+    texts = [f"a {blank * (1_200_000 // len(blank))}word <|endoftext|>", blank * 99_999 + "x", blank * 100_000]
+    got = tokens.declared_encoder(tokens.default_vocabulary()).encode(texts)
+    assert [x.tolist() for x in got] == unmodified_ids(texts)
+
+
 def test_overlap_thresholds_and_subsets():
     for n, m in itertools.product(range(1, 40), repeat=2):
         least = next(i for i in range(n + m + 1) if 100 * i >= 80 * (n + m - i))
