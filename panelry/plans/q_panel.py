@@ -266,6 +266,11 @@ def replicate_graph(spark, sf):
     return graph.replicate_graph(_edges(spark, sf).select("station_id", "neighbor_station_id"), times)
 
 
+@query("replicate_graph_every_hour", f"WITH {GRID}, {EDGES} SELECT h.timestamp, e.station_id, e.neighbor_station_id FROM (SELECT DISTINCT timestamp FROM panel) h, edges e")
+def replicate_graph_every_hour(spark, sf):
+    return graph.replicate_graph(_edges(spark, sf).select("station_id", "neighbor_station_id"), t.panel(spark, sf))
+
+
 @query("graph_snapshots", f"WITH {PANEL}, m AS (SELECT DISTINCT station_id FROM ev), h AS (SELECT DISTINCT timestamp FROM panel) SELECT h.timestamp, count(*)::BIGINT AS nodes, count(p.pm25)::BIGINT AS present, round(sum(p.pm25), 9) AS total FROM h CROSS JOIN m LEFT JOIN panel p ON p.station_id = m.station_id AND p.timestamp = h.timestamp GROUP BY ALL")
 def graph_snapshots(spark, sf):
     s = graph.graph_snapshots(t.panel(spark, sf), t.meta(spark, sf), ["pm25", "no2"])
