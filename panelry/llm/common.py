@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -12,11 +14,15 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
+from pyspark.sql import types as T
 
 #: Words are runs of anything but these six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Text bytes that one step of numpy work holds at once.
-STEP_BYTES = 6 << 20
+STEP_BYTES = 2 << 20
+#: Session settings of every pass over texts: bytes of an Arrow batch, rows that the Parquet reader decodes at once. The
+#: defaults (64 MB, 4096 rows) suit narrow rows; with whole texts they cost hundreds of MB a task.
+LEAN = {"spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20), "spark.sql.parquet.columnarReaderBatchSize": "512"}
 
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 _MUL2 = np.uint64(0xBF58476D1CE4E5B9)
@@ -30,10 +36,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch(spark: SparkSession) -> str:
     """A fresh folder below spark.checkpoint.dir, the one place that driver and executors share.
 
-    Where the setting is absent (tests on one machine) a temporary folder stands in.
+    Where the setting is absent a temporary folder stands in, on one machine only: elsewhere that is an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="panelry-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/panelry-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
@@ -43,7 +51,51 @@ def stored(df: DataFrame) -> DataFrame:
     """The rows written once and read back: lineage is cut, and a lost executor costs a re-read only."""
     path = scratch(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes what stored() wrote, once all that was made of it has been stored itself."""
+    for df in tables:
+        if getattr(df, "stored_at", None) is None:
+            continue
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+        path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
+
+
+@lru_cache(maxsize=1)
+def _libc():
+    try:
+        return ctypes.CDLL("libc.so.6")
+    except OSError:  # another C library
+        return None
+
+
+def give_back() -> None:
+    """Returns what Arrow and the C library keep of freed memory: workers are reused, and so is what they hold on to."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_libc(), "malloc_trim"):
+        _libc().malloc_trim(0)
+
+
+Batches = Iterator[pa.RecordBatch]
+
+
+def over_texts(df: DataFrame, run: Callable[[Batches], Batches], schema: T.StructType | str) -> DataFrame:
+    """mapInArrow with batches of a few MB whose memory is given back as soon as they are done."""
+    for key, value in LEAN.items():
+        df.sparkSession.conf.set(key, value)
+
+    def lean(batches: Batches) -> Batches:
+        for out in run(batches):
+            yield out
+            del out
+            give_back()
+        give_back()
+
+    return df.mapInArrow(lean, schema)
 
 
 def small(df: DataFrame, rows: int, limit: int = 100_000) -> DataFrame:
@@ -191,6 +243,7 @@ def summed_chunks(chunks: DataFrame) -> Iterator[tuple[int, np.ndarray]]:
             for c, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 total[c] = total.get(c, 0) + np.frombuffer(raw, np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())], ["chunk", "counts"])
+        give_back()
 
     for row in chunks.select("chunk", "counts").repartition("chunk").mapInArrow(add, "chunk int, counts binary").toLocalIterator():
         yield row["chunk"], np.frombuffer(row["counts"], np.int64)
@@ -234,6 +287,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 200)
     """
     live = stored(edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a < b").distinct())
     maps: list[DataFrame] = []
+    spent = []
     for k in range(rounds):
         if live.isEmpty():
             break
@@ -244,6 +298,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 200)
         hook = stored(least.select("v", F.least(own, F.col("m"))["u"].alias("p")))
         maps.append(hook)
         left = live.join(hook.select(F.col("v").alias("a"), F.col("p").alias("pa")), "a").join(hook.select(F.col("v").alias("b"), F.col("p").alias("pb")), "b")
+        spent.append(live)
         live = stored(left.select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b")).where("a < b").distinct())
     else:
         raise RuntimeError("components did not settle")
@@ -253,8 +308,11 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 200)
     for step in maps[1:]:
         nxt = step.select(F.col("v").alias("root"), F.col("p").alias("up"))
         out = out.join(nxt, "root", "left").select("node", F.coalesce("up", "root").alias("root"))
-    if len(maps) <= 4:
-        return stored(out)
     out = stored(out)
+    discard(live, *maps, *spent)
+    if len(maps) <= 4:
+        return out
     least = out.groupBy("root").agg(F.min("node").alias("least"))
-    return stored(out.join(least, "root").select("node", F.col("least").alias("root")))
+    final = stored(out.join(least, "root").select("node", F.col("least").alias("root")))
+    discard(out)
+    return final

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Words, free_name, steps, text_bytes
+from .common import Words, free_name, over_texts, steps, text_bytes
 
 #: Hash buckets of words, factors, and the labelled rows that training reads at most (the bound of its sample).
 BUCKETS, FACTORS, SAMPLE = 1 << 15, 8, 6000
@@ -173,7 +173,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", limit: int =
 
     sample = labelled_sample(docs, labels, label, limit)
     schema = T.StructType([sample.schema["doc_id"], T.StructField("y", T.IntegerType()), T.StructField("f", T.BinaryType()), T.StructField("v", T.BinaryType())])
-    got = sorted(map(tuple, sample.mapInArrow(run, schema).toLocalIterator()))
+    got = sorted(map(tuple, over_texts(sample, run, schema).toLocalIterator()))
     if not got:
         return None
     n = np.array([len(r[2]) // 4 for r in got])
@@ -199,11 +199,11 @@ def score(docs: DataFrame, machine: Machine | None, text: str = "text", length:
             n_chars = _chars(batch.column(at(length))) if length in names else np.full(batch.num_rows, np.nan)
             out = np.full(batch.num_rows, 0.5)
             if m is not None:
-                for i, j in steps(offsets, 3 << 20):
+                for i, j in steps(offsets):
                     out[i:j] = m.scores(features(data, offsets[i : j + 1], n_chars[i:j]))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out)], [*names, "score"])
 
-    return docs.mapInArrow(run, schema)
+    return over_texts(docs, run, schema)
 
 
 def keep_quality(docs: DataFrame, machine: Machine | None, cut: float = CUT) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Words, free_name, mix, small, steps, stored, text_bytes
+from .common import Words, free_name, mix, over_texts, small, steps, stored, text_bytes
 
 #: Fixed values of the base rules.
 MIN_WORDS, WINDOW, REPEAT_PERCENT = 10, 5, 20
@@ -86,7 +86,7 @@ def with_measures(df: DataFrame, text: str = "text", keep_text: bool = False) ->
             found = measure_texts(batch.column(at(text)))
             yield pa.RecordBatch.from_arrays([batch.column(at(c)) for c in names] + [pa.array(found[m]) for m in MEASURES], [*names, *MEASURES])
 
-    return df.mapInArrow(measure, schema)
+    return over_texts(df, measure, schema)
 
 
 def base_failed() -> Column:

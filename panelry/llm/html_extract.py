@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from .common import over_texts
 from .html_pages import labelled_pages
 
 #: Elements that start a block, and those whose text is never shown.
@@ -318,4 +319,4 @@ def extract(pages: DataFrame, model: Model | None = None, html: str = "html") ->
                 texts = main_texts(part.column(at(html)).to_pylist(), shared.value)
                 yield pa.RecordBatch.from_arrays([part.column(at(c)) for c in names] + [pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], schema.names)
 
-    return pages.select(*names, html).mapInArrow(run, schema)
+    return over_texts(pages.select(*names, html), run, schema)

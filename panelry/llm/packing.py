@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, gapless, steps, stored, text_bytes
+from .common import free_name, gapless, over_texts, steps, stored, text_bytes
 from .tokens import declared_encoder, default_vocabulary
 
 CAPACITY, END = 1024, 2
@@ -127,7 +127,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = N
                     cols.append(pa.array([x[4] for x in out], pa.list_(pa.int64())))
                 yield pa.RecordBatch.from_arrays(cols, schema.names)
 
-    return docs.select("doc_id", "text").mapInArrow(cut, schema)
+    return over_texts(docs.select("doc_id", "text"), cut, schema)
 
 
 def place(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -160,7 +160,7 @@ def place(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
                 offset[own] = line[:, 4] + k % line[:, 3] * s
             yield pa.RecordBatch.from_arrays([batch.column(at(c)) for c in names] + [pa.array(bins), pa.array(offset)], schema.names)
 
-    return numbered.mapInArrow(look_up, schema)
+    return over_texts(numbered, look_up, schema)
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = None, keep_ids: bool = False) -> DataFrame:

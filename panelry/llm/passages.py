@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, lists, mix, small, steps, stored, text_bytes
+from .common import Words, give_back, lists, mix, over_texts, small, steps, stored, text_bytes
 
 WINDOW, PHRASE = 50, 8
 #: Text bytes that one group of documents should hold, window records of one reduce task, ids worth a broadcast.
@@ -86,7 +86,7 @@ def profiles(docs: DataFrame) -> DataFrame:
                 cols = [batch.column(0).slice(i, j - i).cast(pa.int64()), pa.array(w.counts.astype(np.int64)), pa.array(f1), pa.array(f2), pa.array(sha, pa.string())]
                 yield pa.RecordBatch.from_arrays([*cols, lists(phrase[new].view(np.int64), first, pa.int64())], names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_words long, f1 long, f2 long, sha string, phrases array<long>")
+    return over_texts(docs.select("doc_id", "text"), run, "doc_id long, n_words long, f1 long, f2 long, sha string, phrases array<long>")
 
 
 def _windows_of(words: Words, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -172,7 +172,7 @@ def confirmed(marked: DataFrame, parts: int) -> DataFrame:
         packed = [r["window"][a:b].tobytes() + r["doc"][a:b].tobytes() for a, b in zip(new, ends, strict=True)]
         return pa.table({"phrase": pa.array(phrases.view(np.int64)), "words": pa.array([text[p] for p in phrases.tolist()], pa.binary()), "windows": pa.array(packed, pa.binary())})
 
-    dealt = marked.select("doc_id", "text", "phrases").mapInArrow(deal, "part int, raw binary, said binary")
+    dealt = over_texts(marked.select("doc_id", "text", "phrases"), deal, "part int, raw binary, said binary")
     return dealt.groupBy("part").applyInArrow(reduce, "phrase long, words binary, windows binary")
 
 
@@ -266,6 +266,7 @@ def located(marked: DataFrame, patterns: DataFrame) -> DataFrame:
             words = body.split()
             start, end = _runs(gone)
             out.append((int(gone.sum()), _sha([x for x, g in zip(words, gone.tolist(), strict=True) if not g]), [{"start": a, "end": b} for a, b in zip(start.tolist(), end.tolist(), strict=True)]))
+        give_back()
         spans = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         cols = {"doc_id": docs.column("doc_id"), "f1": docs.column("f1"), "n_removed": pa.array([x[0] for x in out], pa.int64()), "kept_sha256": pa.array([x[1] for x in out], pa.string()), "spans": pa.array([x[2] for x in out], spans)}
         return pa.table(cols)
@@ -319,7 +320,7 @@ def _same_text(joined: DataFrame) -> DataFrame:
                 f1[i:j] = _fingerprints(Words(data, offsets[i : j + 1]))[0]
             yield batch.filter(pa.array(f1 == batch.column(at("f1")).to_numpy(zero_copy_only=False)))
 
-    return joined.mapInArrow(run, joined.schema)
+    return over_texts(joined, run, joined.schema)
 
 
 def strip_passages(docs: DataFrame) -> DataFrame:
@@ -336,4 +337,4 @@ def strip_passages(docs: DataFrame) -> DataFrame:
                 out.append(b" ".join(words).decode())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["doc_id", "text"])
 
-    return docs.select("doc_id", "text").join(spans, "doc_id", "left").mapInArrow(run, "doc_id long, text string")
+    return over_texts(docs.select("doc_id", "text").join(spans, "doc_id", "left"), run, "doc_id long, text string")

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import lower_ascii, steps, text_bytes
+from .common import lower_ascii, over_texts, steps, text_bytes
 
 #: Most strings that one stretch of a pattern is expanded to.
 EXPAND = 64
@@ -157,11 +157,12 @@ class BlockIndex:
         if len(a) < 3 or not trigrams:
             return
         code = (a[:-2].astype(np.uint32) << 16) | (a[1:-1].astype(np.uint32) << 8) | a[2:]
-        place = _lookup(trigrams)[code]
-        at = np.flatnonzero(place)
+        codes, front, back = _lookup(trigrams)
+        at = np.flatnonzero(front[code >> 8] & back[code & 0xFFFF])
+        place = np.minimum(np.searchsorted(codes, code[at]), len(codes) - 1)
         row = np.searchsorted(bounds, at, "right") - 1
-        inside = at + 3 <= bounds[row + 1]
-        self.has[place[at][inside] - 1, row[inside]] = True
+        inside = (codes[place] == code[at]) & (at + 3 <= bounds[row + 1])
+        self.has[place[inside], row[inside]] = True
 
     def rows(self, need: Need) -> np.ndarray:
         """Which texts satisfy the query."""
@@ -174,12 +175,13 @@ class BlockIndex:
 
 
 @lru_cache(maxsize=4)
-def _lookup(trigrams: tuple[str, ...]) -> np.ndarray:
-    table = np.zeros(1 << 24, np.uint8 if len(trigrams) < 255 else np.uint16)
-    for i, t in enumerate(trigrams):
-        b = t.encode("latin-1")
-        table[b[0] << 16 | b[1] << 8 | b[2]] = i + 1
-    return table
+def _lookup(trigrams: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The codes of the sorted trigrams, and which pairs of bytes they start and end with."""
+    codes = np.array([int.from_bytes(t.encode("latin-1"), "big") for t in trigrams], np.uint32)
+    front, back = np.zeros(1 << 16, bool), np.zeros(1 << 16, bool)
+    front[codes >> 8] = True
+    back[codes & 0xFFFF] = True
+    return codes, front, back
 
 
 def find_spans(column: pa.Array, rules: tuple[Rule, ...] = RULES) -> list[list[tuple[int, int, int]]]:
@@ -215,7 +217,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: tuple[
             found = [[{"kind": kinds[k], "start": a, "end": b} for a, k, b in spans] for spans in find_spans(batch.column(1), rules)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, span)], [key, "spans"])
 
-    return docs.select(key, text).mapInArrow(run, schema)
+    return over_texts(docs.select(key, text), run, schema)
 
 
 def digest(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -233,7 +235,7 @@ def digest(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
             cols += [pa.array([hashlib.sha256(x.encode()).hexdigest() for x in own], pa.string()), pa.array([",".join(x) for x in said], pa.string())]
             yield pa.RecordBatch.from_arrays([batch.column(0), *cols], schema.names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return over_texts(docs.select("doc_id", "text"), run, schema)
 
 
 def masked(text: str, spans: list[tuple[int, int, int]], mask: str) -> str:
@@ -272,4 +274,4 @@ def redact(docs: DataFrame, text: str = "text", length: str = "n_chars", mask: s
                 batch = pa.RecordBatch.from_arrays(cols, schema=batch.schema)
             yield batch
 
-    return docs.mapInArrow(run, docs.schema)
+    return over_texts(docs, run, docs.schema)
