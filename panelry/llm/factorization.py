@@ -145,10 +145,15 @@ def held_out(doc_id: Column) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, limit: int = SAMPLE) -> DataFrame:
-    """At most `limit` labelled documents, never held-out ones: those whose md5 of doc_id is smallest."""
+    """(doc_id, text, n_chars, _label) of at most `limit` labelled documents: those whose md5 of doc_id is smallest.
+
+    Held-out rows, and null ids and labels, are left out; of several labels of one id the largest counts. Without a
+    length column n_chars is null.
+    """
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max(label).alias("_label")).orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(limit)
-    return docs.join(F.broadcast(known), "doc_id").select("doc_id", "text", "n_chars", "_label")
+    length = F.col("n_chars") if "n_chars" in docs.columns else F.lit(None).cast("long")
+    return docs.select("doc_id", "text", length.alias("n_chars")).join(F.broadcast(known), "doc_id")
 
 
 def _chars(column: pa.Array) -> np.ndarray:
@@ -182,7 +187,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", limit: int =
 
 
 def score(docs: DataFrame, machine: Machine | None, text: str = "text", length: str = "n_chars") -> DataFrame:
-    """Adds score (0 to 1) to every row. Without a machine, or for a text without words, statistics alone still score.
+    """Adds score (0 to 1) to every row. A null text counts as empty: statistics alone still score it. Without a machine all score 0.5.
 
     Nothing but text and length is looked at; a column named score is replaced.
     """

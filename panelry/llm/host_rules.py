@@ -1,8 +1,9 @@
 """Quality rules by host: base rules per document, failure rates per host shrunk by an empirical beta prior.
 
 The beta prior is fitted to all hosts by moments: its mean is the failure rate over all documents, its strength follows
-from how much the hosts' rates differ beyond what chance explains. A host whose shrunk rate passes `limit` is rejected
-with all its documents; small hosts are drawn to the mean and so never fall for a few bad pages.
+from how much the hosts' rates differ beyond what chance explains. A host is rejected with all its documents where even
+the lower end of its posterior rate (the shrunk rate less SURE standard deviations) exceeds both `limit` and the prior's
+mean: small hosts are drawn to the mean and stay uncertain, and so never fall for a few bad pages.
 """
 
 from __future__ import annotations
@@ -15,13 +16,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Words, free_name, mix, over_texts, small, steps, stored, text_bytes
+from .common import Words, discard, free_name, mix, over_texts, small, steps, stored, text_bytes
 
 #: Fixed values of the base rules.
 MIN_WORDS, WINDOW, REPEAT_PERCENT = 10, 5, 20
 SYMBOLS = b"#*$%&|<>"
-#: Shrunk failure rate above which a host is rejected.
-HOST_LIMIT = 0.8
+#: A host is rejected where its shrunk failure rate, less so many posterior standard deviations, is above this share of its
+#: documents and above the mean of all hosts. The prior's strength is held between the last two (documents).
+HOST_LIMIT, SURE, STRENGTH = 0.5, 2.0, (1.0, 1e6)
 
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 _IS_SYMBOL = np.isin(np.arange(256), np.frombuffer(SYMBOLS, np.uint8))
@@ -75,7 +77,10 @@ def measure_texts(column: pa.Array) -> dict[str, np.ndarray]:
 
 
 def with_measures(df: DataFrame, text: str = "text", keep_text: bool = False) -> DataFrame:
-    """Adds the five measures (and drops the text unless told otherwise); columns of the same names are replaced."""
+    """Adds the five measures (and drops the text unless told otherwise); columns of the same names are replaced.
+
+    Null and empty texts measure 0 throughout; every row is measured, repeated ones too; an empty table stays empty.
+    """
     df = df.select(*[c for c in df.columns if c.lower() not in MEASURES])
     names = [c for c in df.columns if keep_text or c != text]
     schema = T.StructType([df.schema[c] for c in names] + [T.StructField(m, T.LongType()) for m in MEASURES])
@@ -89,17 +94,26 @@ def with_measures(df: DataFrame, text: str = "text", keep_text: bool = False) ->
     return over_texts(df, measure, schema)
 
 
+def too_short() -> Column:
+    return F.col("n_words") < MIN_WORDS
+
+
+def repeats_itself() -> Column:
+    return F.col("n_repeat_words") * 100 > F.col("n_words") * REPEAT_PERCENT
+
+
 def base_failed() -> Column:
-    return (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * REPEAT_PERCENT)
+    return too_short() | repeats_itself()
 
 
 def host_verdicts(measured: DataFrame, host: str, limit: float = HOST_LIMIT) -> DataFrame:
-    """(host, docs, failures, rate, rejected): one row per host, the prior fitted to all of them.
+    """(host, docs, failures, too_short, repeating, rate, low, rejected): one row per host, the prior fitted to all.
 
-    Documents without a host get no verdict. One host alone, or hosts that never fail, are not rejected by the prior.
+    failures counts documents, the next two how many fail each rule; rate is shrunk, low its lower end. Documents
+    without a host get no verdict. One host alone, or hosts that never fail, are not rejected by the prior.
     """
     named = measured.where(F.col(host).isNotNull()).groupBy(F.col(host).alias("host"))
-    hosts = stored(named.agg(F.count(F.lit(1)).alias("docs"), F.count_if(base_failed()).alias("failures")))
+    hosts = stored(named.agg(F.count(F.lit(1)).alias("docs"), F.count_if(base_failed()).alias("failures"), F.count_if(too_short()).alias("too_short"), F.count_if(repeats_itself()).alias("repeating")))
     whole = hosts.agg(F.sum("docs").alias("n"), F.count(F.lit(1)).alias("h"), (F.sum("failures") / F.sum("docs")).alias("m"))
     spread = hosts.crossJoin(F.broadcast(whole)).agg(
         F.first("m").alias("m"),
@@ -108,25 +122,44 @@ def host_verdicts(measured: DataFrame, host: str, limit: float = HOST_LIMIT) ->
         F.first((F.col("h") - 1) / F.col("n")).alias("by_chance"),
     )
     between = F.greatest(F.col("seen") - F.col("v") * F.col("by_chance"), F.lit(1e-9))
-    prior = spread.select("m", F.greatest(F.lit(1.0), F.least(F.lit(1e6), F.col("v") / between - 1)).alias("strength"))
+    prior = spread.select("m", F.greatest(F.lit(STRENGTH[0]), F.least(F.lit(STRENGTH[1]), F.col("v") / between - 1)).alias("strength"))
     rate = (F.col("failures") + F.col("m") * F.col("strength")) / (F.col("docs") + F.col("strength"))
     rated = hosts.crossJoin(F.broadcast(prior)).withColumn("rate", rate)
-    return rated.select("host", "docs", "failures", "rate", (F.col("rate") > limit).alias("rejected"))
+    low = F.col("rate") - F.lit(SURE) * F.sqrt(F.col("rate") * (1 - F.col("rate")) / (F.col("docs") + F.col("strength") + 1))
+    return rated.withColumn("low", low).select("host", "docs", "failures", "too_short", "repeating", "rate", "low", (F.col("low") > F.greatest(F.lit(limit), F.col("m"))).alias("rejected"))
+
+
+def _rejected(measured: DataFrame, host: str, limit: float, name: str) -> tuple[DataFrame, int]:
+    """The rejected hosts in a column of that name, and how many they are."""
+    bad = stored(host_verdicts(measured, host, limit).where("rejected").select(F.col("host").alias(name)))
+    return bad, bad.count()
 
 
 def judge(measured: DataFrame, host: str, limit: float = HOST_LIMIT) -> DataFrame:
-    """Adds base_failed and kept to measured rows: kept unless a base rule or the host's verdict speaks against it."""
-    bad = stored(host_verdicts(measured, host, limit).where("rejected").select(F.col("host").alias("_host")))
-    joined = measured.join(small(bad, bad.count()), F.col(host) == F.col("_host"), "left")
-    return joined.select(*measured.columns, base_failed().alias("base_failed"), (~base_failed() & F.col("_host").isNull()).alias("kept"))
+    """Adds base_failed and kept to measured rows: kept unless a base rule or the host's verdict speaks against it.
+
+    Columns of these two names are replaced, others may have any name. A null host has no verdict, null and empty texts
+    fail the base rules, repeated rows are judged each, an empty table stays empty.
+    """
+    measured = measured.select(*[c for c in measured.columns if c.lower() not in ("base_failed", "kept")])
+    name = free_name(measured, "_host")
+    bad, n = _rejected(measured, host, limit, name)
+    joined = measured.join(small(bad, n), F.col(host) == F.col(name), "left")
+    return joined.select(*measured.columns, base_failed().alias("base_failed"), (~base_failed() & F.col(name).isNull()).alias("kept"))
 
 
 def keep_good(docs: DataFrame, host: str = "source", limit: float = HOST_LIMIT) -> DataFrame:
-    """The documents that pass, all columns unchanged. Texts are measured twice and never shuffled."""
+    """The documents that pass, all columns unchanged, whatever their names. Texts are measured twice and never shuffled.
+
+    Null, empty and very short texts go, as do all documents of a rejected host; documents without a host are judged by
+    the base rules alone. Repeated rows share their fate.
+    """
     measured = stored(with_measures(docs.select(host, "text")))
     named = {c: free_name(docs, f"_{i}") for i, c in enumerate(docs.columns) if c.lower() in MEASURES}
     fit = docs.withColumnsRenamed(named)
-    bad = stored(host_verdicts(measured, host, limit).where("rejected").select(F.col("host").alias("_host")))
+    name = free_name(fit, "_host")
+    bad, n = _rejected(measured, host, limit, name)
+    discard(measured)
     rows = with_measures(fit, keep_text=True).where(~base_failed())
-    good = rows.join(small(bad, bad.count()), F.col(host) == F.col("_host"), "left_anti")
+    good = rows.join(small(bad, n), F.col(host) == F.col(name), "left_anti")
     return good.select(*[F.col(named.get(c, c)).alias(c) for c in docs.columns])

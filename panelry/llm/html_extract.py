@@ -304,7 +304,8 @@ def main_texts(pages: list[str | None], model: Model) -> list[str]:
 def extract(pages: DataFrame, model: Model | None = None, html: str = "html") -> DataFrame:
     """Adds text and n_chars to the pages and drops the html; columns of those names are replaced.
 
-    Without a model, one is trained on the labelled pages of this package. Repeated rows are extracted each.
+    Without a model, one is trained on the labelled pages of this package. A null or empty html has an empty text. Repeated
+    rows are extracted each; an empty table stays empty. Depth is no limit: nesting is kept on a list, not on the stack.
     """
     model = model or fit(labelled_pages())
     shared = pages.sparkSession.sparkContext.broadcast(model)

@@ -166,7 +166,8 @@ def place(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = None, keep_ids: bool = False) -> DataFrame:
     """All documents in sequences of at most `capacity` tokens: the pieces with sequence_id and offset.
 
-    Repeated rows are packed each for itself; an empty table gives no rows; other columns are ignored.
+    A null or empty text is one piece, the end id alone. Rows with a null doc_id are packed too. Repeated rows are packed
+    each for itself; an empty table gives no rows; other columns are ignored.
     """
     return place(pieces(docs, capacity, vocabulary, keep_ids), capacity)
 

@@ -62,6 +62,15 @@ def _fingerprints(words: Words) -> tuple[np.ndarray, np.ndarray]:
     return out[0], out[1]
 
 
+def text_fingerprints(column: pa.Array) -> np.ndarray:
+    """The first fingerprint of each text's words."""
+    data, offsets = text_bytes(column)
+    f1 = np.zeros(len(column), np.int64)
+    for i, j in steps(offsets):
+        f1[i:j] = _fingerprints(Words(data, offsets[i : j + 1]))[0]
+    return f1
+
+
 def _sha(words: list[bytes]) -> str:
     return hashlib.sha256(b" ".join(words)).hexdigest()
 
@@ -140,7 +149,9 @@ def confirmed(marked: DataFrame, parts: int) -> DataFrame:
                 first = mine[own[at[i] : at[j]]]
                 if len(first) and len(every):
                     first = np.unique(first)
-                    order = np.argsort(every, kind="stable")
+                    # Only where all words of the phrase lie in one text.
+                    inside = np.flatnonzero(np.arange(len(every)) + PHRASE <= np.repeat(w.first[1:], w.counts)[: len(every)])
+                    order = inside[np.argsort(every[inside], kind="stable")]
                     place = order[np.minimum(np.searchsorted(every[order], first), len(order) - 1)]
                     raw = w.data.tobytes()
                     said = [b" ".join(raw[a:b].split()) for a, b in zip(w.starts[place].tolist(), w.ends[place + PHRASE - 1].tolist(), strict=True)]
@@ -275,7 +286,7 @@ def located(marked: DataFrame, patterns: DataFrame) -> DataFrame:
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept_sha256, spans) of every row: the words under passages of earlier documents.
+    """(doc_id, n_words, n_removed, kept_sha256, spans, f1) of every row: the words under passages of earlier documents.
 
     Words are as they stand. Null and short texts lose nothing; nor do rows without doc_id, which are no source either.
     Rows that share a doc_id are judged each by its own text.
@@ -305,6 +316,7 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
         F.when(copy, F.col("n_words")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
         F.when(copy, nothing).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
         F.when(copy, whole).otherwise(F.coalesce("spans", none)).alias("spans"),
+        "f1",
     )
 
 
@@ -314,25 +326,27 @@ def _same_text(joined: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index
-            data, offsets = text_bytes(batch.column(at("text")))
-            f1 = np.zeros(batch.num_rows, np.int64)
-            for i, j in steps(offsets):
-                f1[i:j] = _fingerprints(Words(data, offsets[i : j + 1]))[0]
+            f1 = text_fingerprints(batch.column(at("text")))
             yield batch.filter(pa.array(f1 == batch.column(at("f1")).to_numpy(zero_copy_only=False)))
 
     return over_texts(joined, run, joined.schema)
 
 
 def strip_passages(docs: DataFrame) -> DataFrame:
-    """(doc_id, text): each text without its repeated words; the words kept are joined by one space."""
-    spans = repeated_passages(docs).select("doc_id", "spans").where(F.size("spans") > 0)
+    """(doc_id, text) of every row: each text without its repeated words; the words kept are joined by one space.
+
+    A null text becomes empty. Rows that share a doc_id lose each what is repeated in its own text.
+    """
+    found = repeated_passages(docs).where(F.size("spans") > 0).select("doc_id", "f1", "spans").dropDuplicates(["doc_id", "f1"])
+    spans = found.groupBy("doc_id").agg(F.collect_list(F.struct("f1", "spans")).alias("cuts"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for text, cuts in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            f1 = text_fingerprints(batch.column(1)).tolist()
+            for text, mine, cuts in zip(batch.column(1).to_pylist(), f1, batch.column(2).to_pylist(), strict=True):
                 words = (text or "").encode().split()
-                for c in reversed(cuts or []):
+                for c in reversed(next((x["spans"] for x in cuts or [] if x["f1"] == mine), [])):
                     del words[c["start"] : c["end"]]
                 out.append(b" ".join(words).decode())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["doc_id", "text"])

@@ -37,7 +37,8 @@ a AS (SELECT sum(failures) / sum(docs) AS mean, sum(docs) AS n, count(*) AS h FR
 v AS (SELECT any_value(mean) AS mean, any_value(mean * (1 - mean)) AS v, sum(docs * pow(failures / docs - mean, 2)) / sum(docs) AS seen,
              any_value((a.h - 1) / a.n) AS by_chance FROM h, a),
 p AS (SELECT mean, greatest(1.0, least(1e6, v / greatest(seen - v * by_chance, 1e-9) - 1)) AS strength FROM v),
-j AS (SELECT source FROM h, p WHERE (failures + mean * strength) / (docs + strength) > 0.8)
+x AS (SELECT source, docs, strength, mean, (failures + mean * strength) / (docs + strength) AS rate FROM h, p),
+j AS (SELECT source FROM x WHERE rate - 2 * sqrt(rate * (1 - rate) / (docs + strength + 1)) > greatest(0.5, mean))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
        NOT base_failed AND NOT (source IS NOT NULL AND source IN (SELECT source FROM j)) AS kept
 FROM b

@@ -207,7 +207,10 @@ def find_spans(column: pa.Array, rules: tuple[Rule, ...] = RULES) -> list[list[t
 
 
 def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """One row per document: key, spans array<struct<kind, start, end>>. Null and empty texts have none."""
+    """One row per document: key, spans array<struct<kind, start, end>>, in code points.
+
+    Null and empty texts have none; repeated rows are scanned each; an empty table stays empty; other columns are ignored.
+    """
     kinds = [r.kind for r in rules]
     schema = T.StructType([docs.schema[key], T.StructField("spans", T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))])
     span = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
@@ -221,7 +224,10 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", rules: tuple[
 
 
 def digest(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Per document the counts of the base kinds, the hash of the base spans and all spans, in one pass."""
+    """Per document the counts of the base kinds, the hash of the base spans and all spans, in one pass.
+
+    Null and empty texts count as without spans; repeated rows are scanned each; an empty table stays empty.
+    """
     base = [k for k, r in enumerate(rules) if r.base]
     counts = [f"n_{rules[k].kind}" for k in base]
     schema = T.StructType([docs.schema["doc_id"], *[T.StructField(c, T.LongType()) for c in counts], T.StructField("base_sha256", T.StringType()), T.StructField("spans", T.StringType())])

@@ -38,10 +38,11 @@ def jump(keys: np.ndarray, shards: int) -> np.ndarray:
 
 
 def with_shards(df: DataFrame, key: str, shards: dict[str, int]) -> DataFrame:
-    """Adds one int column per entry of `shards` (name to number of shards).
+    """Adds one int column per entry of `shards` (name to number of shards); columns of those names are replaced.
 
     Equal keys share a shard. A null key counts as a key of its own. Empty tables and extra columns pass through.
     """
+    df = df.select(*[c for c in df.columns if c.lower() not in {s.lower() for s in shards}])
     bits = free_name(df, "_bits")
     keyed = df.withColumn(bits, hash_bits(F.col(key), KEY_DIGITS))
     names = [c for c in keyed.columns if c != bits]

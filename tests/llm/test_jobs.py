@@ -34,11 +34,16 @@ def frame(spark, texts, source="s"):
 ODD = [None, "", "   \n ", "one", "one two", "one two", "x" * 5000, "a b c d e f g h i j k l", "a b c d e f g h i j k l", "É password=abcdefgh1 ß"]
 
 
+#: Names that operators use for columns of their own.
+CLASHES = ["copies", "_id", "_host", "_s", "_mine", "_many", "_label", "_bits", "_rank", "_mark", "_part", "kept", "base_failed", "hex", "rank", "rep", "node", "root", "size", "spans", "place", "score"]
+
+
 @pytest.fixture(scope="module")
 def odd(spark):
     """Nulls, empty and long texts, repeated rows, a null source, a clashing extra column."""
     df = frame(spark, ODD, [None if i == 3 else f"s{i % 2}" for i in range(len(ODD))])
-    return df.union(df.where("doc_id = 7")).withColumn("copies", F.lit("mine")).withColumn("n_words", F.lit(1.5))
+    df = df.union(df.where("doc_id = 7")).withColumn("n_words", F.lit(1.5))
+    return df.withColumns({c: F.lit("mine") for c in CLASHES})
 
 
 @pytest.fixture(scope="module")
@@ -51,6 +56,7 @@ JOBS = {
     "shards": lambda d: sharding.with_shards(d, "doc_id", {"place": 4}),
     "rules": lambda d: host_rules.judge(common.stored(host_rules.with_measures(d)), "source"),
     "keep": lambda d: host_rules.keep_good(d),
+    "keep_one": lambda d: ngram_join.keep_one(d),
     "secrets": lambda d: secret_scan.digest(d),
     "spans": lambda d: secret_scan.scan(d),
     "redact": lambda d: secret_scan.redact(d),
@@ -69,6 +75,11 @@ JOBS = {
 def test_odd_tables(odd, empty, job):
     rows = JOBS[job](odd).collect()
     assert JOBS[job](empty).count() == 0
+    assert len({c.lower() for c in JOBS[job](odd).columns}) == len(JOBS[job](odd).columns)
+    if job in ("keep", "keep_one"):
+        # Documents with ten words or more; the first of the two equal ones, once, and the other all differ.
+        want = {"keep": [7, 7, 8], "keep_one": [0, 1, 2, 3, 4, 6, 7, 9]}[job]
+        assert sorted(r.doc_id for r in rows) == want and all(r["_id"] == r["_host"] == r.kept == "mine" for r in rows)
     if job in ("shard", "shards", "rules", "secrets", "spans", "redact", "join", "passages", "strip", "score", "extract"):
         assert len(rows) == len(ODD) + 1
 
@@ -88,9 +99,14 @@ def test_shards_and_slots(spark):
 
 def test_host_verdicts(spark):
     good = " ".join(f"w{i}" for i in range(30))
-    docs = frame(spark, ["bad"] * 40 + [good] * 2 + [good] * 60 + ["bad"], ["junk"] * 42 + ["fine"] * 60 + [None])
-    out = {r.doc_id: r.kept for r in host_rules.judge(common.stored(host_rules.with_measures(docs)), "source").collect()}
-    assert not out[0] and not out[40] and out[50] and not out[102]
+    docs = frame(spark, ["bad"] * 40 + [good] * 2 + [good] * 60 + ["bad"] + ["bad", "bad", good], ["junk"] * 42 + ["fine"] * 60 + [None] + ["tiny"] * 3)
+    measured = common.stored(host_rules.with_measures(docs))
+    out = {r.doc_id: r.kept for r in host_rules.judge(measured, "source").collect()}
+    # A host of junk goes whole; a host of three pages, two of them bad, is too small to be sure of.
+    assert not out[0] and not out[40] and out[50] and not out[102] and not out[103] and out[105]
+    hosts = {r.host: r for r in host_rules.host_verdicts(measured, "source").collect()}
+    assert hosts["junk"].rejected and not hosts["fine"].rejected and not hosts["tiny"].rejected
+    assert hosts["tiny"].low < 0.5 < hosts["tiny"].failures / hosts["tiny"].docs and hosts["junk"].too_short == 40 and hosts["junk"].repeating == 0
     assert {r.doc_id for r in host_rules.keep_good(docs).collect()} == {i for i, k in out.items() if k}
 
 
@@ -223,6 +239,19 @@ def test_passages_equal_brute_force(spark, seed):
         assert {i for s in x.spans for i in range(s.start, s.end)} == gone
 
 
+def test_rows_that_share_a_doc_id(spark):
+    """Each row is judged by its own text, and none is lost or doubled."""
+    r = random.Random(8)
+    passage, other = (" ".join(f"{p}{r.randint(0, 900)}" for _ in range(60)) for p in "ab")
+    docs = frame(spark, [passage, f"{passage} x y", f"{other} z", f"{other} w"]).select(F.least("doc_id", F.lit(2)).alias("doc_id"), "text")
+    docs = docs.union(docs.where("doc_id = 1"))
+    got = sorted((x.doc_id, x.text) for x in passages.strip_passages(docs).collect())
+    assert got == [(0, passage), (1, "x y"), (1, "x y"), (2, f"{other} w"), (2, f"{other} z")]
+    same_id = frame(spark, [passage, other, other + " t", "more words here"]).withColumn("doc_id", F.when(F.col("doc_id") == 1, 0).otherwise(F.col("doc_id")).cast("long"))
+    got = sorted((x.doc_id, x.component_id) for x in ngram_join.join_classes(same_id).collect())
+    assert got == [(0, 0), (0, 0), (2, 0), (3, 3)]
+
+
 def test_search_in_many_shards_equals_one(spark, monkeypatch):
     r = random.Random(6)
     vocabulary = [f"w{i}" for i in range(300)]
