@@ -260,14 +260,8 @@ def edge_symmetrize(spark, sf):
     return graph.edge_symmetrize(_edges(spark, sf), t.meta(spark, sf))
 
 
-@query("replicate_graph", f"WITH {GRID}, {EDGES} SELECT DISTINCT h.timestamp, e.station_id, e.neighbor_station_id FROM (SELECT DISTINCT timestamp FROM panel WHERE hour(timestamp) = 0) h, edges e")
+@query("replicate_graph", f"WITH {GRID}, {EDGES} SELECT h.timestamp, e.station_id, e.neighbor_station_id FROM (SELECT DISTINCT timestamp FROM panel) h, edges e")
 def replicate_graph(spark, sf):
-    times = t.panel(spark, sf).where(F.hour("timestamp") == 0)
-    return graph.replicate_graph(_edges(spark, sf).select("station_id", "neighbor_station_id"), times)
-
-
-@query("replicate_graph_every_hour", f"WITH {GRID}, {EDGES} SELECT h.timestamp, e.station_id, e.neighbor_station_id FROM (SELECT DISTINCT timestamp FROM panel) h, edges e")
-def replicate_graph_every_hour(spark, sf):
     return graph.replicate_graph(_edges(spark, sf).select("station_id", "neighbor_station_id"), t.panel(spark, sf))
 
 

@@ -74,11 +74,6 @@ def station_error_card(spark, sf):
 
 
 def _requests(spark, sf):
-    """One request per third event."""
-    return _every_request(spark, sf).where("request_id % 3 = 0")
-
-
-def _every_request(spark, sf):
     """One request per event: some without as_of, some for what is not served."""
     return t.events(spark, sf).select(
         F.col("event_id").alias("request_id"),
@@ -96,26 +91,15 @@ def _served(spark, sf):
 _REQ = """req AS (SELECT event_id AS request_id, CASE WHEN event_id % 33 <> 0 THEN station_id + CASE WHEN event_id % 21 = 0 THEN 100000 ELSE 0 END END AS station_id,
  coalesce(CASE WHEN event_id % 2 = 0 THEN 'pm25' WHEN event_id % 5 = 0 THEN 'o3' WHEN event_id % 7 <> 0 THEN 'no2' END, 'pm25') AS pollutant,
  coalesce(CASE WHEN event_id % 4 <> 0 THEN (event_id % 3 + 1)::INT END, 1) AS horizon,
- CASE WHEN event_id % 2 = 0 THEN timestamp + INTERVAL 1 HOUR * CASE WHEN event_id % 10 = 0 THEN 5000 ELSE 0 END END AS as_of FROM ev WHERE event_id % 3 = 0)"""
-
-
-_EVERY_REQ = _REQ.removesuffix(" WHERE event_id % 3 = 0)") + ")"
-
-
-@query("request_errors", f"""WITH {PANEL}, {_REQ}, x AS (SELECT request_id, station_id, pollutant, horizon, CASE WHEN station_id IS NULL THEN 'missing station_id' WHEN pollutant NOT IN ('pm25', 'no2') THEN 'unknown pollutant'
- WHEN horizon NOT IN (1, 2) THEN 'unknown horizon' WHEN station_id NOT IN (SELECT station_id FROM panel) THEN 'unknown station' WHEN pollutant = 'no2' AND horizon = 2 THEN 'model unavailable'
- WHEN as_of IS NOT NULL AND NOT EXISTS (SELECT 1 FROM panel p WHERE p.station_id = req.station_id AND p.timestamp = req.as_of) THEN 'no data at as_of' END AS error FROM req)
-SELECT request_id, coalesce(station_id, -1) AS station_id, pollutant, horizon, error FROM x WHERE error IS NOT NULL""")
-def request_errors(spark, sf):
-    return s.request_errors(_requests(spark, sf), t.panel(spark, sf), _served(spark, sf)).withColumn("station_id", F.coalesce("station_id", F.lit(-1)))
+ CASE WHEN event_id % 2 = 0 THEN timestamp + INTERVAL 1 HOUR * CASE WHEN event_id % 10 = 0 THEN 5000 ELSE 0 END END AS as_of FROM ev)"""
 
 
-@query("request_errors_every_event", f"""WITH {PANEL}, {_EVERY_REQ}, x AS (SELECT req.*, CASE WHEN req.station_id IS NULL THEN 'missing station_id' WHEN pollutant NOT IN ('pm25', 'no2') THEN 'unknown pollutant'
+@query("request_errors", f"""WITH {PANEL}, {_REQ}, x AS (SELECT req.*, CASE WHEN req.station_id IS NULL THEN 'missing station_id' WHEN pollutant NOT IN ('pm25', 'no2') THEN 'unknown pollutant'
  WHEN horizon NOT IN (1, 2) THEN 'unknown horizon' WHEN req.station_id NOT IN (SELECT station_id FROM panel) THEN 'unknown station' WHEN pollutant = 'no2' AND horizon = 2 THEN 'model unavailable'
  WHEN as_of IS NOT NULL AND p.timestamp IS NULL THEN 'no data at as_of' END AS error FROM req LEFT JOIN panel p ON p.station_id = req.station_id AND p.timestamp = req.as_of)
 SELECT request_id, coalesce(station_id, -1) AS station_id, pollutant, horizon, error FROM x WHERE error IS NOT NULL""")
-def request_errors_every_event(spark, sf):
-    return s.request_errors(_every_request(spark, sf), t.panel(spark, sf), _served(spark, sf)).withColumn("station_id", F.coalesce("station_id", F.lit(-1)))
+def request_errors(spark, sf):
+    return s.request_errors(_requests(spark, sf), t.panel(spark, sf), _served(spark, sf)).withColumn("station_id", F.coalesce("station_id", F.lit(-1)))
 
 
 def _score(requests, spark, sf):
@@ -132,14 +116,6 @@ def score_as_of(spark, sf):
     return _score(_requests(spark, sf), spark, sf)
 
 
-@query("score_as_of_every_event", f"""WITH {PANEL}, {_EVERY_REQ}, l AS (SELECT * FROM panel QUALIFY row_number() OVER (PARTITION BY station_id ORDER BY timestamp DESC) = 1),
-x AS (SELECT r.*, l.timestamp, l.pm25, l.no2 FROM req r JOIN l USING (station_id) WHERE as_of IS NULL UNION ALL SELECT r.*, p.timestamp, p.pm25, p.no2 FROM req r JOIN panel p ON p.station_id = r.station_id AND p.timestamp = r.as_of),
-v AS (SELECT *, CASE WHEN pollutant = 'pm25' AND horizon IN (1, 2) THEN floor(pm25) WHEN pollutant = 'no2' AND horizon = 1 THEN floor(no2) END AS value FROM x)
-SELECT request_id, station_id, pollutant, horizon, timestamp AS as_of, timestamp + INTERVAL 1 HOUR * horizon AS prediction_ts, value::DOUBLE AS value, 'v1' AS model_version, 'µg/m³' AS unit FROM v WHERE value IS NOT NULL""")
-def score_as_of_every_event(spark, sf):
-    return _score(_every_request(spark, sf), spark, sf)
-
-
 @query("score_latest", f"WITH {PANEL} SELECT station_id, timestamp AS as_of, timestamp + INTERVAL 1 HOUR AS prediction_ts, floor(pm25)::DOUBLE AS value FROM panel QUALIFY row_number() OVER (PARTITION BY station_id ORDER BY timestamp DESC) = 1")
 def score_latest(spark, sf):
     p = t.panel(spark, sf)

@@ -22,11 +22,11 @@ def test_query_without_sql_returns_rows(spark, sf_dir, name):
 
 
 def test_every_event_is_a_request_and_every_hour_has_a_graph(spark, sf_dir):
-    for name in ("score_as_of_every_event", "request_errors_every_event"):
+    for name in ("score_as_of", "request_errors"):
         got = registry.QUERIES[name](spark, sf_dir)
         assert {x[0] for x in got.selectExpr("request_id % 3").distinct().collect()} == {0, 1, 2}
     hours = spark.read.parquet(f"{sf_dir}/events.parquet").selectExpr("date_trunc('hour', ts)").distinct().count()
-    assert registry.QUERIES["replicate_graph_every_hour"](spark, sf_dir).select("timestamp").distinct().count() == hours
+    assert registry.QUERIES["replicate_graph"](spark, sf_dir).select("timestamp").distinct().count() == hours
 
 
 def test_entry(spark):
