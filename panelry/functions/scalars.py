@@ -32,10 +32,10 @@ def sentinel_to_null(c: str | Column, sentinel: float = -999) -> Column:
 
 
 def haversine(lat1, lon1, lat2, lon2) -> Column:
-    """Great-circle distance in km."""
+    """Great-circle distance in km; null where a coordinate is."""
     a1, a2 = F.radians(_c(lat1)), F.radians(_c(lat2))
     half = F.pow(F.sin((a2 - a1) / 2), 2) + F.cos(a1) * F.cos(a2) * F.pow(F.sin(F.radians(_c(lon2) - _c(lon1)) / 2), 2)
-    return 2 * EARTH_KM * F.asin(F.sqrt(F.least(half, F.lit(1.0))))
+    return 2 * EARTH_KM * F.asin(F.sqrt(F.when(half > 1, 1.0).otherwise(half)))
 
 
 def season(month: str | Column) -> Column:

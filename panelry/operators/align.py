@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from panelry.functions.scalars import haversine
+from panelry.functions.scalars import EARTH_KM, haversine
 
 #: Dimension rows that a broadcast is still fit for.
 BROADCAST_ROWS = 200_000
-#: Degrees of latitude per km.
-DEGREE_KM = 111.19
+#: Columns of a cube's number, and the level whose cubes (4 ** 7 km) are wider than the earth.
+CELL, TOP_LEVEL = ("_x", "_y", "_z"), 7
 
 
 def dimension(df: DataFrame, rows: int | None = None) -> DataFrame:
@@ -19,33 +20,60 @@ def dimension(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if n <= BROADCAST_ROWS else df
 
 
+def _cells(lat: str, lon: str, side: Column | float, shift: Column | float = 0.0) -> list[Column]:
+    """Cube numbers of a place on the earth's surface, cubes side km wide.
+
+    A chord is never longer than the arc, so places within side km lie in the same or in touching cubes, across the
+    antimeridian and at the poles as anywhere else.
+    """
+    phi, lam = F.radians(lat), F.radians(lon)
+    axes = (F.cos(phi) * F.cos(lam), F.cos(phi) * F.sin(lam), F.sin(phi))
+    return [F.floor(axis * EARTH_KM / side + shift).alias(n) for axis, n in zip(axes, CELL, strict=True)]
+
+
+def _around(df: DataFrame) -> DataFrame:
+    """Every row 27 times: once for its cube and each that touches it."""
+    step = F.array(*[F.lit(i) for i in (-1, 0, 1)])
+    for c in CELL:
+        df = df.withColumn("_step", F.explode(step)).withColumn(c, F.col(c) + F.col("_step")).drop("_step")
+    return df
+
+
 def nearest_join(points: DataFrame, stations: DataFrame, point_id: str, station_id: str, by: list[str]) -> DataFrame:
     """For each point and parameter the nearest station (ties: smaller id) and its distance in km; none: no row.
 
-    Points carry lat, lon; stations carry lat, lon and the columns of `by`. The station dimension is the small side.
+    Points carry lat, lon; stations carry lat, lon and the columns of `by`. Null places and parameters meet nobody. Stations
+    stand in cubes of several sizes, each four times the one before; the largest holds the earth. The smallest own cube
+    of a point with a station in it bounds the distance by its diagonal, so the nearest one is in the cubes around the
+    point one size up. Both joins are on cube numbers, never on all pairs.
     """
-    s = stations.select(*[F.col(c) for c in by], F.col(station_id).alias("_sid"), F.col("lat").alias("_lat"), F.col("lon").alias("_lon"))
-    pairs = points.crossJoin(dimension(s)).withColumn("_d", haversine("lat", "lon", "_lat", "_lon"))
-    best = pairs.groupBy(point_id, *by).agg(F.min(F.struct("_d", "_sid")).alias("_m"))
-    return best.select(point_id, *by, F.col("_m._sid").alias(station_id), F.col("_m._d").alias("distance_km"))
+    level = F.explode(F.sequence(F.lit(0), F.lit(TOP_LEVEL))).alias("_level")
+    # Grids of different sizes do not share their borders: a point close to one is inside the others. The top cube is
+    # centred on the earth, so every point has a station in its own cube there.
+    side, shift = F.pow(F.lit(4.0), F.col("_level")), 0.5 + 0.37 * (TOP_LEVEL - F.col("_level"))
+    placed = lambda df: df.where("lat is not null and lon is not null").select("*", level).select("*", *_cells("lat", "lon", side, shift))
+    p = placed(points.select(F.col(point_id).alias("_pid"), "lat", "lon").distinct())
+    s = placed(stations.select(*by, F.col(station_id).alias("_sid"), "lat", "lon")).withColumnsRenamed({"lat": "_lat", "lon": "_lon"})
+    settled = s.select(*by, "_level", *CELL).distinct()
+    first = p.join(settled, ["_level", *CELL]).groupBy("_pid", "lat", "lon", *by).agg(F.min("_level").alias("_first"))
+    up = first.withColumn("_level", F.least(F.col("_first") + 1, F.lit(TOP_LEVEL)))
+    near = _around(up.select("*", *_cells("lat", "lon", side, shift))).join(s, [*by, "_level", *CELL])
+    near = near.withColumn("_d", haversine("lat", "lon", "_lat", "_lon"))
+    best = near.groupBy("_pid", *by).agg(F.min(F.struct("_d", "_sid")).alias("_m"))
+    return best.select(F.col("_pid").alias(point_id), *by, F.col("_m._sid").alias(station_id), F.col("_m._d").alias("distance_km"))
 
 
 def knn_join(points: DataFrame, key: str, k: int, max_km: float, lat: str = "latitude", lon: str = "longitude") -> DataFrame:
     """The k nearest other points within max_km: (key, neighbor_<key>, distance_km, rank). Fewer rows where fewer are near.
 
-    Points fall into cells at least max_km wide (longitudes by the highest latitude of the table); a point meets the nine
-    cells around it, so the join is on cell numbers and never on all pairs.
+    Points fall into cubes max_km wide; a point meets those around its own, so the join is on cube numbers and never on
+    all pairs. Ranks beyond k are cut in each task before the rows are shuffled.
     """
-    p = points.select(F.col(key).alias("id"), F.col(lat).alias("lat"), F.col(lon).alias("lon"))
-    step = max_km / DEGREE_KM
-    top = p.agg(F.max(F.abs("lat")).alias("_top"))
-    cell = p.crossJoin(F.broadcast(top)).select("id", "lat", "lon", F.floor(F.col("lat") / step).alias("y"), F.floor(F.col("lon") * F.greatest(F.cos(F.radians("_top")), F.lit(0.05)) / step).alias("x"))
-    around = F.explode(F.array(*[F.struct(F.lit(a).alias("dy"), F.lit(b).alias("dx")) for a in (-1, 0, 1) for b in (-1, 0, 1)]))
-    wide = cell.select("*", around.alias("o")).select(F.col("id").alias("id0"), F.col("lat").alias("lat0"), F.col("lon").alias("lon0"), (F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x"))
-    near = wide.join(cell, ["y", "x"]).where("id <> id0").withColumn("d", haversine("lat0", "lon0", "lat", "lon")).where(F.col("d") <= max_km)
-    ranked = near.groupBy("id0").agg(F.slice(F.array_sort(F.collect_list(F.struct("d", "id"))), 1, k).alias("best"))
-    rows = ranked.select("id0", F.posexplode("best").alias("i", "b"))
-    return rows.select(F.col("id0").alias(key), F.col("b.id").alias(f"neighbor_{key}"), F.col("b.d").alias("distance_km"), (F.col("i") + 1).alias("rank"))
+    cell = points.select(F.col(key).alias("id"), F.col(lat).alias("lat"), F.col(lon).alias("lon")).where("lat is not null and lon is not null").select("*", *_cells("lat", "lon", max_km * 1.000001))
+    wide = _around(cell.withColumnsRenamed({"id": "id0", "lat": "lat0", "lon": "lon0"}))
+    near = wide.join(cell, list(CELL)).where("id <> id0").withColumn("d", haversine("lat0", "lon0", "lat", "lon")).where(F.col("d") <= max_km)
+    ranked = near.select("id0", "id", "d", F.row_number().over(W.partitionBy("id0").orderBy("d", "id")).alias("rank")).where(F.col("rank") <= k)
+    return ranked.select(F.col("id0").alias(key), F.col("id").alias(f"neighbor_{key}"), F.col("d").alias("distance_km"), "rank")
 
 
 def collapse_sparse(df: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:

@@ -87,6 +87,30 @@ def test_cells_lose_no_neighbour(spark):
     assert got == want
 
 
+def test_neighbours_across_the_antimeridian_and_the_pole(spark):
+    rows = [(1, 10.0, 179.9), (2, 10.0, -179.9), (3, 89.9, 0.0), (4, 89.9, 180.0), (5, None, 3.0)]
+    pts = spark.createDataFrame(rows, "station_id long, latitude double, longitude double")
+    got = {(r.station_id, r.neighbor_station_id) for r in align.knn_join(pts, "station_id", 2, 50.0).collect()}
+    assert got == {(1, 2), (2, 1), (3, 4), (4, 3)}
+
+
+def test_nearest_station_at_every_distance(spark):
+    """Near, far, tied, antipodal and repeated places, against all pairs."""
+    places = [(i, 47 + (i * 37 % 900) / 100, 6 + (i * 61 % 900) / 100) for i in range(60)]
+    places += [(60, 0.0, 0.0), (61, 0.001, -0.001), (62, -89.99, 17.0), (63, 0.0, 179.999), (64, -33.9, 151.2)]
+    sites = [(i, "a", 47 + (i * 71 % 900) / 100, 6 + (i * 13 % 900) / 100) for i in range(40)]
+    sites += [(50, "a", -0.001, 0.001), (51, "a", 52.0, 9.0), (52, "a", 52.0, 9.0), (53, "b", 52.0, -171.0), (54, "a", None, 9.0)]
+    points = spark.createDataFrame([*places, (65, None, 1.0)], "id long, lat double, lon double")
+    stations = spark.createDataFrame(sites, "sid long, kind string, lat double, lon double")
+    got = {(r.id, r.kind): (r.sid, round(r.distance_km, 6)) for r in align.nearest_join(points, stations, "id", "sid", ["kind"]).collect()}
+    pairs = points.join(stations.withColumnsRenamed({"lat": "y", "lon": "x"}), F.lit(True)).withColumn("d", scalars.haversine("lat", "lon", "y", "x"))
+    want = {}
+    for r in sorted(pairs.where("d is not null").collect(), key=lambda r: (r.d, r.sid)):
+        want.setdefault((r.id, r.kind), (r.sid, round(r.d, 6)))
+    assert got == want and len(got) == 2 * len(places)
+    assert align.nearest_join(points, stations.limit(0), "id", "sid", ["kind"]).count() == 0
+
+
 def test_clean(spark):
     d = spark.createDataFrame([(1, 1, 10, 0), (1, 1, 99, 1), (2, 2, 20, 2)], "station_id long, ts long, value long, seq long")
     assert sorted(r.value for r in clean.dedup_first(d, ["station_id", "ts"], ["seq"]).collect()) == [10, 20]
