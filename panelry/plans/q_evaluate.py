@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelry.functions.scalars import calendar
+from panelry.operators import align, clean, models, prepare, split
 from panelry.operators import grid as g
 from panelry.operators import metrics as m
-from panelry.operators import models, prepare, split
 from panelry.plans import tables as t
+from panelry.plans.feature_table import build_feature_table
 from panelry.plans.registry import query
 from panelry.plans.tables import GRID, PANEL, SPLIT, rounded
 
@@ -260,6 +261,55 @@ def baseline_experiment(spark, sf):
     return models.experiment(f, ["pm25", "no2", "before"], "y", "pm25", made)
 
 
+@query("model_forest")
+def model_forest(spark, sf):
+    return models.experiment(_features(spark, sf), ["pm25", "no2", "before"], "y", "pm25", {"forest": models.forest(20, 6)})
+
+
+@query("model_boosted")
+def model_boosted(spark, sf):
+    return models.experiment(_features(spark, sf), ["pm25", "no2", "before"], "y", "pm25", {"boosted": models.boosted(10, 3)})
+
+
+def _everything(spark, sf):
+    """The feature table with every column that a tier names; what the tables do not measure is null."""
+    keys = ["station_id", "timestamp"]
+    p = t.panel(spark, sf)
+    wide = align.weather_panel(t.weather(spark, sf), t.mapping(spark, sf), t.METRICS)
+    panel = align.build_panel(p, [wide], t.meta(spark, sf), keys).withColumns({c: F.lit(None).cast("double") for c in ("humidity_pct", "wind_speed_ms")})
+    return build_feature_table(clean.flag_outliers_iqr(panel, "pm25", "pm25_is_outlier"), t.meta(spark, sf))
+
+
+_MADE = ["{}"] + [f"{{}}_lag_{h}h" for h in (1, 2, 3, 6, 12, 24)] + [f"{{}}_roll{f}_{n}h" for f in ("mean", "std", "max", "min") for n in (3, 6, 24)] + ["{}_roc_1h", "{}_trend_6h"]
+_NAMES = {
+    "A": [m.format(p) for p in ("pm25", "no2") for m in _MADE] + "pm25_is_outlier hour day_of_week is_weekend month season hour_sin hour_cos day_of_week_sin day_of_week_cos month_sin month_cos".split(),
+    "B": "temperature_c humidity_pct wind_speed_ms wind_direction_deg wind_direction_sin wind_direction_cos pressure_msl_hpa precipitation_mm pressure_tendency_3h".split(),
+    "C": "latitude longitude neighbor_pm25_mean neighbor_pm25_count neighbor_pm25_roc_1h nearest_neighbor_distance_km".split(),
+}
+_TIERS = ", ".join(f"('{tier}', '{c}')" for tier in "ABC" for inner in "ABC" if inner <= tier for c in _NAMES[inner])
+_ALL_ROWS = f"{GRID}, n AS (SELECT count(*)::BIGINT AS n_rows FROM grid)"
+
+
+@query("feature_tiers", f"WITH {_ALL_ROWS} SELECT tier, name, n_rows FROM (VALUES {_TIERS}) x(tier, name), n")
+def feature_tiers(spark, sf):
+    f = _everything(spark, sf)
+    names = [(tier, c) for tier in split.tiers() for c in split.check_tier(f.columns, tier)]
+    each = F.explode(F.array(*[F.struct(F.lit(tier).alias("tier"), F.lit(c).alias("name")) for tier, c in names]))
+    return f.agg(F.count(F.lit(1)).alias("n_rows")).select("n_rows", each.alias("e")).select("e.tier", "e.name", "n_rows")
+
+
+@query("gnn_feature_columns", f"WITH {_ALL_ROWS} SELECT name, n_rows FROM (VALUES {', '.join(f"('{c}')" for c in _NAMES['A'] + _NAMES['B'])}) x(name), n")
+def gnn_feature_columns(spark, sf):
+    f = _everything(spark, sf)
+    names = split.graph_feature_columns(split.feature_columns(f))
+    return f.agg(F.count(F.lit(1)).alias("n_rows")).select("n_rows", F.explode(F.array(*[F.lit(c) for c in names])).alias("name"))
+
+
 @query("ablation_experiment")
 def ablation_experiment(spark, sf):
-    return models.ablation(_features(spark, sf), {"A": ["pm25"], "B": ["pm25", "before"]}, "y", "pm25", models.linear)
+    """The three tiers, each by some of its columns: exact medians of all would fill one task's memory."""
+    f = split.chronological_split(_everything(spark, sf))
+    grown = {"A": ["pm25", "pm25_lag_1h", "pm25_rollmean_24h", "hour_sin"], "B": ["temperature_c", "pressure_tendency_3h"], "C": ["latitude", "neighbor_pm25_mean"]}
+    tiers = {tier: [c for inner in grown if inner <= tier for c in grown[inner]] for tier in grown}
+    rows = f.select("split", "target_pm25_h1", *tiers["C"])
+    return models.ablation(rows, tiers, "target_pm25_h1", "pm25", models.linear)

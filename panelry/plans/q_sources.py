@@ -43,14 +43,18 @@ def src_station_fwf(spark, sf):
     line = F.concat(F.lpad(F.col("s_suppkey").cast("string"), 5, "0"), F.lit(" 19991231 20240101 "), F.lpad(F.lit("12"), 14, " "), F.lit(" "), F.lpad(F.format_string("%.2f", "s_acctbal"), 10, " "), F.lit(" "), F.lpad(F.lit("9.5"), 9, " "), F.lit("  "), pad(F.col("s_name"), 40), F.lit(" "), pad(F.lit("Land"), 40))
     lines = s.select(line.alias("line"))
     extra = t.source(spark, sf, "region").where("r_regionkey < 2").select(F.when(F.col("r_regionkey") == 0, "Stations_id von_datum").otherwise("").alias("line"))
-    return formats.parse_fixed_width(lines.union(extra)).select("station_id", F.col("von_datum").cast("string").alias("von_datum"), "station_name", "latitude")
+    path = t.folder(spark)
+    lines.union(extra).write.text(path)
+    return formats.read_fixed_width(spark, path).select("station_id", F.col("von_datum").cast("string").alias("von_datum"), "station_name", "latitude")
 
 
 @query("src_weather_csv", "SELECT o_custkey AS dwd_station_id, o_orderdate AS timestamp, CASE WHEN o_orderkey % 9 > 0 THEN o_totalprice END AS pressure_msl_hpa FROM orders")
 def src_weather_csv(spark, sf):
     price = F.when(F.col("o_orderkey") % 9 > 0, F.col("o_totalprice").cast("string")).otherwise("  -999")
     raw = t.source(spark, sf, "orders").select(F.lpad(F.col("o_custkey").cast("string"), 11, " ").alias("STATIONS_ID"), F.date_format("o_orderdate", "yyyyMMddHH").alias("MESS_DATUM"), F.lit(" 5").alias("P0"), price.alias("P"))
-    return formats.parse_weather(raw, "pressure").drop("parameter")
+    path = t.folder(spark)
+    raw.write.csv(path, header=True, sep=";", ignoreLeadingWhiteSpace=False)
+    return formats.read_weather_text(spark, path, "pressure").drop("parameter")
 
 
 @query("union_sources", "SELECT s_suppkey AS id, s_name AS name, NULL::DOUBLE AS price FROM supplier UNION ALL SELECT o_orderkey, NULL, o_totalprice FROM orders")
@@ -68,3 +72,35 @@ def ingest_manifest(spark, sf):
 @query("sink_json_report", "SELECT '{\"event_type\":\"' || event_type || '\",\"n\":' || count(*) || '}' AS report FROM events GROUP BY event_type")
 def sink_json_report(spark, sf):
     return formats.json_report(t.source(spark, sf, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n")))
+
+
+@query("sink_parquet", "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate FROM orders")
+def sink_parquet(spark, sf):
+    path = t.folder(spark)
+    columns = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate"]
+    formats.write_parquet(t.source(spark, sf, "orders").select(columns), path, ["o_orderstatus"])
+    return formats.read_parquet(spark, path).select(columns)
+
+
+_RESULTS = "SELECT event_type AS model, count(*)::BIGINT AS n, round(avg(value), 9) AS mae, NULL::DOUBLE AS r2 FROM events GROUP BY 1"
+
+
+def _results(spark, sf) -> str:
+    """A results file in the shape of the evaluation's: one row per model, a metric that is not known left empty."""
+    path = t.folder(spark)
+    rows = t.source(spark, sf, "events").groupBy(F.col("event_type").alias("model")).agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mae"), F.lit(None).cast("double").alias("r2"))
+    formats.write_csv(t.rounded(rows), path)
+    return path
+
+
+@query("sink_csv_results", _RESULTS)
+def sink_csv_results(spark, sf):
+    return t.rounded(formats.read_csv(spark, _results(spark, sf), "model string, n long, mae double, r2 double"))
+
+
+@query("src_csv_results", f"SELECT model, n, mae FROM ({_RESULTS})")
+def src_csv_results(spark, sf):
+    """Two results files of which one was never written."""
+    kind = "model string, n long, mae double, r2 double"
+    found = [formats.read_csv(spark, path, kind) for path in (_results(spark, sf), t.folder(spark))]
+    return t.rounded(formats.union_sources(found).select("model", "n", "mae"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,7 +31,13 @@ def write_parquet(df: DataFrame, path: str, by: list[str] | None = None) -> None
 
 
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.csv(path, header=True, schema=schema)
+    """Rows of a results file; a file that is not there has none."""
+    try:
+        return spark.read.csv(path, header=True, schema=schema)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
 
 
 def write_csv(df: DataFrame, path: str) -> None:

@@ -251,6 +251,7 @@ def test_files_round_trip(spark, tmp_path):
     assert formats.read_parquet(spark, f"{tmp_path}/p").where("pm25 is null").count() == 2
     formats.write_csv(df.select("station_id"), f"{tmp_path}/c")
     assert formats.read_csv(spark, f"{tmp_path}/c", "station_id long").count() == 3
+    assert formats.read_csv(spark, f"{tmp_path}/never_written", "station_id long").count() == 0
     with open(f"{tmp_path}/list.txt", "w", encoding="latin-1") as f:
         f.write("Stations_id von bis\n----- ----\n00044 20070401 20240101             44     52.9336    8.2370 " + "Großenkneten".ljust(40) + " " + "Niedersachsen".ljust(40) + "\n\n")
     r = formats.read_fixed_width(spark, f"{tmp_path}/list.txt").collect()

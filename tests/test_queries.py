@@ -29,6 +29,17 @@ def test_every_event_is_a_request_and_every_hour_has_a_graph(spark, sf_dir):
     assert registry.QUERIES["replicate_graph"](spark, sf_dir).select("timestamp").distinct().count() == hours
 
 
+@pytest.mark.parametrize("name", ["forest", "boosted"])
+def test_trees_beat_persistence(spark, sf_dir, name):
+    rmse = {(r.model, r.split): r.rmse for r in registry.QUERIES[f"model_{name}"](spark, sf_dir).collect()}
+    assert rmse[name, "test"] < rmse["persistence", "test"]
+
+
+def test_ablation_has_every_tier(spark, sf_dir):
+    rows = registry.QUERIES["ablation_experiment"](spark, sf_dir).collect()
+    assert {(r.model, r.split) for r in rows} == {(a, b) for a in "ABC" for b in ("train", "val", "test")}
+
+
 def test_entry(spark):
     import __spark_entry__
 
