@@ -92,10 +92,11 @@ def rank_first(df: DataFrame, by: str, tie: str, name: str = "rank") -> DataFram
 def neighbor_features(values: DataFrame, edges: DataFrame, c: str, key: str = "station_id", ts: str = "timestamp") -> DataFrame:
     """(key, ts, neighbor_<c>_mean, _count, _roc_1h, nearest_neighbor_distance_km) of stations with neighbours.
 
-    Counts are 0 where all neighbours are silent. values is a regular grid with one row per key and time.
+    Counts are 0 where all neighbours are silent. values is a regular grid with one row per key and time. Its rows are
+    exchanged by time before they meet the edges, not once per edge afterwards: the grouping finds them in place.
     """
     e = edges.select(F.col(key).alias("_to"), F.col(f"neighbor_{key}").alias(key))
-    met = values.select(key, ts, c).join(dimension(e), key)
+    met = values.select(key, ts, c).repartition(ts).join(dimension(e), key)
     mean, count = f"neighbor_{c}_mean", f"neighbor_{c}_count"
     agg = met.groupBy(F.col("_to").alias(key), ts).agg(F.avg(c).alias(mean), F.count(c).alias(count))
     agg = agg.withColumn(f"neighbor_{c}_roc_1h", F.col(mean) - F.lag(mean, 1).over(over(key, ts)))

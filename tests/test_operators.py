@@ -94,6 +94,19 @@ def test_neighbours_across_the_antimeridian_and_the_pole(spark):
     assert got == {(1, 2), (2, 1), (3, 4), (4, 3)}
 
 
+def test_messages_pass_only_where_a_station_has_a_row(spark):
+    """Two hops along 1 - 2 - 3, 4 alone; station 2 is absent at hour 1, its value unknown at hour 2."""
+    rows = [(s, h, None if (s, h) == (2, 2) else float(10 * s + h)) for h in range(3) for s in range(1, 5) if (s, h) != (2, 1)]
+    v = spark.createDataFrame(rows, "station_id long, timestamp long, pm25 double")
+    edges = spark.createDataFrame([(1, 2), (3, 2), (3, 2)], "station_id long, neighbor_station_id long")
+    one = {(r[0], r[1]): r[2] for r in graph.message_mean(v, edges, ["pm25"], 1).collect()}
+    assert one == {(1, 0): 20, (2, 0): 20, (3, 0): 20, (4, 0): None, (1, 1): None, (3, 1): None, (4, 1): None, (1, 2): None, (2, 2): 22, (3, 2): None, (4, 2): None}
+    two = {(r[0], r[1]): r[2] for r in graph.message_mean(v, edges, ["pm25"]).collect()}
+    assert two == {(1, 0): 20, (2, 0): 20, (3, 0): 20, (4, 0): None, (1, 1): None, (3, 1): None, (4, 1): None, (1, 2): 22, (2, 2): None, (3, 2): 22, (4, 2): None}
+    plan = graph.message_mean(v, edges, ["pm25"])._jdf.queryExecution().executedPlan().toString()
+    assert "REPARTITION_BY_COL" in plan and not [x for x in plan.splitlines() if "Exchange hashpartitioning" in x and "timestamp" in x and "REPARTITION_BY_COL" not in x]
+
+
 def test_nearest_station_at_every_distance(spark):
     """Near, far, tied, antipodal and repeated places, against all pairs."""
     places = [(i, 47 + (i * 37 % 900) / 100, 6 + (i * 61 % 900) / 100) for i in range(60)]
