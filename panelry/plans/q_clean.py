@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelry.operators import clean, validate
+from panelry.operators.align import dimension
 from panelry.plans import tables as t
 from panelry.plans.registry import query
 from panelry.plans.tables import EV, GRID, META, PANEL, rounded
@@ -125,7 +126,7 @@ UNION ALL SELECT '', 'no2_below_pm25', count(*) FILTER (NOT no2 <= pm25) FROM p
 UNION ALL SELECT 'station_id, timestamp', 'unique', 0""",
 )
 def validate_schema(spark, sf):
-    p = t.panel(spark, sf).join(F.broadcast(t.meta(spark, sf)), "station_id")
+    p = t.panel(spark, sf).join(dimension(t.meta(spark, sf)), "station_id")
     rules = validate.Rules(
         {"station_id": ("bigint", False, True), "pm25": ("double", True, True), "wind": ("double", True, True)},
         (validate.ge("station_id", 1), validate.in_range("pm25", 0, 100), validate.in_range("latitude", 50.5, 53), validate.le("no2", 90), validate.row_expr("no2_below_pm25", F.col("no2") <= F.col("pm25"))),

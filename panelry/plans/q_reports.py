@@ -8,7 +8,7 @@ from panelry.operators import grid as g
 from panelry.operators import metrics as m
 from panelry.operators import scoring as s
 from panelry.operators import validate
-from panelry.operators.align import knn_join
+from panelry.operators.align import dimension, knn_join
 from panelry.plans import tables as t
 from panelry.plans.q_evaluate import _ROWS, _rows
 from panelry.plans.registry import query
@@ -47,7 +47,7 @@ def group_agg_day(spark, sf):
 @query("group_agg_type", "SELECT r_name, round(avg(s_acctbal), 9) AS mae, count(*)::BIGINT AS n FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY r_name")
 def group_agg_type(spark, sf):
     n = t.source(spark, sf, "nation").join(t.source(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
-    joined = t.source(spark, sf, "supplier").join(F.broadcast(n), F.col("s_nationkey") == F.col("n_nationkey"))
+    joined = t.source(spark, sf, "supplier").join(dimension(n), F.col("s_nationkey") == F.col("n_nationkey"))
     return rounded(m.breakdown(joined, ["r_name"], error="s_acctbal"))
 
 
@@ -158,7 +158,7 @@ def station_map(spark, sf):
 
 @query("station_directory", "SELECT s_suppkey AS station_id, s_name AS name, s_name || ' (' || n_name || ') — id ' || s_suppkey AS label FROM supplier JOIN nation ON s_nationkey = n_nationkey")
 def station_directory(spark, sf):
-    j = t.source(spark, sf, "supplier").join(F.broadcast(t.source(spark, sf, "nation")), F.col("s_nationkey") == F.col("n_nationkey")).withColumnRenamed("s_suppkey", "station_id")
+    j = t.source(spark, sf, "supplier").join(dimension(t.source(spark, sf, "nation")), F.col("s_nationkey") == F.col("n_nationkey")).withColumnRenamed("s_suppkey", "station_id")
     return s.station_directory(j, "station_id", "s_name", "n_name")
 
 
