@@ -23,7 +23,9 @@ def with_weather(df: DataFrame, key: str = "station_id", ts: str = "timestamp")
 
 
 def build_feature_table(panel: DataFrame, meta: DataFrame, k: int = 5, max_km: float = 100.0) -> DataFrame:
-    """One exchange and one sort by station serve all windows; neighbours join as a broadcast edge list."""
+    """One exchange and one sort by station serve all windows of the grid. The neighbours' means need their own: the grid is
+    made once more and exchanged by hour, and their rate of change is a window by station again.
+    """
     grid = g.regularize_grid(panel, meta)
     edges = knn_join(meta, "station_id", k, max_km)
     w = g.over()
