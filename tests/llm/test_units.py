@@ -12,7 +12,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from panelry.llm import common, factorization, host_rules, html_extract, ngram_join, packing, passages, secret_scan, sharding, tokens
+from panelry.llm import bm25, common, factorization, host_rules, html_extract, ngram_join, packing, passages, secret_scan, sharding, tokens
 from panelry.llm.html_pages import labelled_pages
 
 TEXTS = st.lists(st.text(alphabet="ab \n\tÉ\x0b#x", max_size=40), min_size=1, max_size=8)
@@ -280,3 +280,49 @@ def test_windows_name_equal_phrases():
 
 def test_crc_is_of_little_endian_ids():
     assert zlib.crc32(np.array([1, 2], "<u4").tobytes()) == zlib.crc32(b"\x01\0\0\0\x02\0\0\0")
+
+
+def shard_and_queries(n_docs, lengths, seed, words=3000):
+    """A shard of Zipf-distributed words and queries made the same way, with the counts of the shard as the global ones."""
+    r = np.random.default_rng(seed)
+    weight = 1 / np.arange(1, words + 1)
+    make = lambda n, low, high: [r.choice(words, r.integers(low, high), p=weight / weight.sum()) for _ in range(n)]
+    docs, asked = make(n_docs, 20, 120), [np.unique(x) for x in make(40, *lengths)]
+    pair, tf = np.unique(np.repeat(np.arange(n_docs), [len(d) for d in docs]) * words + np.concatenate(docs), return_counts=True)
+    sizes = np.array([len(d) for d in docs], float)
+    q = bm25.QueryBlock(np.arange(40), [x.astype(np.uint64) for x in asked], bm25.Vocabulary(np.arange(words, dtype=np.uint64)))
+    q.count(n_docs, int(sizes.sum()), np.bincount(pair % words, minlength=words))
+    ids = r.permutation(n_docs) * 3
+    shard = bm25.Shard(ids, sizes, pair // words, pair % words, tf.astype(float), q)
+    grid = np.zeros((n_docs, words))
+    grid[pair // words, pair % words] = q.idf[pair % words] * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * sizes[pair // words] / q.average))
+    return shard, q, asked, ids, grid
+
+
+@pytest.mark.parametrize(("n_docs", "lengths"), [(3000, (1, 6)), (3000, (60, 200)), (5, (1, 40)), (33, (1, 6)), (700, (5, 30))])
+def test_pivots_lose_no_result(n_docs, lengths):
+    shard, q, asked, ids, grid = shard_and_queries(n_docs, lengths, n_docs + lengths[1])
+    exact = []
+    for t in asked:
+        score = np.round(grid[:, t].sum(axis=1), 6)
+        order = np.lexsort((ids, -score))[:10]
+        order = order[score[order] > 0]
+        exact.append((ids[order], score[order]))
+    tenth = np.array([s[-1] if len(s) == 10 else 0.0 for _, s in exact])
+    for floor in (np.zeros(40), np.maximum(tenth - 1e-5, 0), tenth * 0.7):
+        got = {query: (d, s) for query, d, s in shard.search(q, floor, 10)}
+        for query, (d, s) in enumerate(exact):
+            d2, s2 = got.get(query, (d[:0], s[:0]))
+            assert len(d) == len(d2) and s2 == pytest.approx(s, abs=2e-6)
+            clear = np.abs(np.diff(s, prepend=np.inf, append=-np.inf)) > 4e-6
+            clear = clear[:-1] & clear[1:]
+            assert (d[clear] == d2[clear]).all()
+
+
+def test_pivots_skip_most_postings():
+    """Queries of a few words, and long ones of unrelated words, against Zipf-distributed words; other shards gave the floor."""
+    for lengths, share in (((2, 8), 0.5), ((60, 200), 0.6)):
+        shard, q, asked, _, grid = shard_and_queries(6000, lengths, 5)
+        floor = np.array([np.sort(grid[:, t].sum(axis=1))[-10] for t in asked]) - bm25.MARGIN
+        list(shard.search(q, floor, 10))
+        assert 0 < shard.read < share * shard.all, (lengths, shard.read / shard.all)
