@@ -16,6 +16,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from .common import stored
+
 #: Words are runs of ASCII letters, digits, and everything beyond ASCII.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 CASED_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -120,7 +122,7 @@ def spans(docs: DataFrame, table: DataFrame, n_names: int) -> DataFrame:
 
     score is the share of the template's words that the span covers; 1 for names.
     """
-    cast = votes(docs, table).groupBy("doc", "key", "template", "n", (F.col("w") - F.col("t")).alias("diagonal")).agg(F.collect_set("t").alias("ts"))
+    cast = stored(votes(docs, table).groupBy("doc", "key", "template", "n", (F.col("w") - F.col("t")).alias("diagonal")).agg(F.collect_set("t").alias("ts")))
     names = cast.where((F.col("template") < n_names) & (F.size("ts") == F.col("n") - NAME_GRAM + 1))
     names = names.select("doc", "key", "template", F.col("diagonal").alias("start"), (F.col("diagonal") + F.col("n")).alias("end"), F.lit(1.0).alias("score"))
     # Of a notice: islands of diagonals, and what they cover together.
