@@ -6,6 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .align import dimension
+from .quantiles import exact_quantiles
+
 
 def filter_window(df: DataFrame, ts: str, start, end) -> DataFrame:
     """Half-open: start <= ts < end."""
@@ -52,20 +55,18 @@ def dropped(before: DataFrame, after: DataFrame, name: str = "dropped") -> DataF
     return a.crossJoin(F.broadcast(b)).select((F.col("_a") - F.col("_b")).alias(name))
 
 
-def iqr_bounds(df: DataFrame, value: str, factor: float, by: list[str], approximate: bool) -> DataFrame:
-    quartiles = F.percentile_approx(value, [0.25, 0.75], 100_000) if approximate else F.percentile(value, F.array(F.lit(0.25), F.lit(0.75)))
-    q = df.groupBy(*by).agg(quartiles.alias("_q"))
-    low, high = F.col("_q")[0], F.col("_q")[1]
-    return q.select(*by, (low - factor * (high - low)).alias("_low"), (high + factor * (high - low)).alias("_high"))
+def iqr_bounds(df: DataFrame, value: str, factor: float, by: list[str]) -> DataFrame:
+    q = exact_quantiles(df, {"_q1": (value, 0.25), "_q3": (value, 0.75)}, by)
+    width = factor * (F.col("_q3") - F.col("_q1"))
+    return q.select(*by, (F.col("_q1") - width).alias("_low"), (F.col("_q3") + width).alias("_high"))
 
 
-def flag_outliers_iqr(df: DataFrame, value: str, flag: str, factor: float = 3.0, by: list[str] | None = None, approximate: bool = False, fit_on: DataFrame | None = None) -> DataFrame:
+def flag_outliers_iqr(df: DataFrame, value: str, flag: str, factor: float = 3.0, by: list[str] | None = None, fit_on: DataFrame | None = None) -> DataFrame:
     """Strictly outside Q1 - f IQR .. Q3 + f IQR; null is no outlier; no row goes.
 
-    The quartiles are those of all rows, of each group, or of fit_on. Exact quartiles hold one group's distinct values
-    in a task; approximate=True does not. One row of bounds (or one per group) is joined.
+    The quartiles are exact, those of all rows, of each group, or of fit_on. One row of bounds (or one per group) is joined.
     """
-    bounds = iqr_bounds(df if fit_on is None else fit_on, value, factor, by or [], approximate)
-    joined = df.join(bounds, by, "left") if by else df.crossJoin(F.broadcast(bounds))
+    bounds = iqr_bounds(df if fit_on is None else fit_on, value, factor, by or [])
+    joined = df.join(dimension(bounds), by, "left") if by else df.crossJoin(F.broadcast(bounds))
     out = F.coalesce((F.col(value) < F.col("_low")) | (F.col(value) > F.col("_high")), F.lit(False))
     return joined.withColumn(flag, out).drop("_low", "_high")

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .align import strict_align
+from .quantiles import exact_quantiles
 from .split import require_empty
 
 
@@ -29,9 +30,9 @@ def regression_metrics(df: DataFrame, y: str, p: str, by: list[str] | None = Non
     return agg
 
 
-def spike_threshold(train: DataFrame, y: str, percent: float = 0.9, approximate: bool = False) -> DataFrame:
-    value = F.percentile_approx(y, percent, 100_000) if approximate else F.percentile(y, percent)
-    return train.agg(value.alias("threshold"))
+def spike_threshold(train: DataFrame, y: str, percent: float = 0.9) -> DataFrame:
+    """One row: the exact percentile of the training values."""
+    return exact_quantiles(train, {"threshold": (y, percent)})
 
 
 def spike_classification(df: DataFrame, y: str, p: str, threshold: Column) -> DataFrame:

@@ -7,12 +7,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .grid import ffill, over
+from .quantiles import exact_quantiles
 
 
 def medians(df: DataFrame, columns: list[str], empty: float | None = None) -> DataFrame:
-    """One row of medians, nulls skipped; `empty` for a column without values."""
-    m = {c: F.median(c) if empty is None else F.coalesce(F.median(c), F.lit(empty)) for c in columns}
-    return df.agg(*[v.alias(f"_m_{c}") for c, v in m.items()])
+    """One row of exact medians of all columns, nulls skipped; `empty` for a column without values."""
+    found = exact_quantiles(df, {f"_m_{c}": (c, 0.5) for c in columns})
+    return found if empty is None else found.fillna(empty)
 
 
 def impute_median(df: DataFrame, train: DataFrame, columns: list[str], empty: float | None = 0.0) -> DataFrame:

@@ -8,6 +8,7 @@ from panelry.functions.scalars import calendar
 from panelry.operators import align, clean, models, prepare, split
 from panelry.operators import grid as g
 from panelry.operators import metrics as m
+from panelry.operators.quantiles import exact_quantiles
 from panelry.plans import tables as t
 from panelry.plans.feature_table import build_feature_table
 from panelry.plans.registry import query
@@ -203,7 +204,7 @@ def average_precision(spark, sf):
 
 @query("quantile", "SELECT event_type, round(quantile_cont(value, 0.9), 9) AS p90 FROM events GROUP BY 1")
 def quantile(spark, sf):
-    return rounded(t.source(spark, sf, "events").groupBy("event_type").agg(F.percentile("value", 0.9).alias("p90")))
+    return rounded(exact_quantiles(t.source(spark, sf, "events"), {"p90": ("value", 0.9)}, ["event_type"]))
 
 
 _LONG = "long AS (SELECT 'persistence' AS model, station_id, timestamp, y, pm25 AS p FROM r WHERE split = 'test' UNION ALL SELECT 'earlier', station_id, timestamp, y, coalesce(before, pm25) FROM r WHERE split = 'test')"

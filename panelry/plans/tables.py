@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from panelry.operators.grid import regularize_grid
+from panelry.operators.store import folder, stored  # noqa: F401
 from panelry.sources.formats import read_parquet
 
 #: Event types in the roles of weather parameters, with the metric column each fills.
@@ -20,16 +18,6 @@ def source(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return read_parquet(spark, f"{sf}/{name}.parquet")
 
 
-def folder(spark: SparkSession) -> str:
-    """A fresh path for written files below spark.checkpoint.dir; on one machine a temporary folder stands in."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise RuntimeError("spark.checkpoint.dir has to name a folder that driver and executors share")
-        base = tempfile.mkdtemp(prefix="panelry-")
-    return f"{base.rstrip('/')}/panelry-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-
-
 def events(spark: SparkSession, sf: str) -> DataFrame:
     hour = F.date_trunc("hour", "ts").cast("timestamp_ntz")
     return source(spark, sf, "events").select("event_id", "ts", "event_type", "value", F.expr("user_id div 10").alias("station_id"), hour.alias("timestamp"))
