@@ -12,6 +12,8 @@ from panelry.functions.scalars import EARTH_KM, haversine
 BROADCAST_ROWS = 200_000
 #: Columns of a cube's number, and the level whose cubes (4 ** 7 km) are wider than the earth.
 CELL, TOP_LEVEL = ("_x", "_y", "_z"), 7
+#: Sizes of cubes that the search of k neighbours halves max_km into: 100 km end at 10 cm.
+KNN_LEVELS = 20
 
 
 def dimension(df: DataFrame, rows: int | None = None) -> DataFrame:
@@ -63,15 +65,38 @@ def nearest_join(points: DataFrame, stations: DataFrame, point_id: str, station_
     return best.select(F.col("_pid").alias(point_id), *by, F.col("_m._sid").alias(station_id), F.col("_m._d").alias("distance_km"))
 
 
+def knn_candidates(points: DataFrame, key: str, k: int, max_km: float, lat: str = "latitude", lon: str = "longitude") -> DataFrame:
+    """(id0, id, d): for each point some others within max_km, the k nearest among them.
+
+    Points stand in cubes of several sizes, the largest max_km wide, each half the one before. The smallest own cube with
+    more than k points bounds the distance of the k-th by its diagonal, so the k nearest are in the cubes around the point
+    one size up: in a dense place a point meets a number of others that grows with k, not with the place. Of points at one
+    place only the k + 1 smallest ids can be anyone's neighbours.
+    """
+    base = points.select(F.col(key).alias("id"), F.col(lat).alias("lat"), F.col(lon).alias("lon")).where("lat is not null and lon is not null")
+    first_ids = F.row_number().over(W.partitionBy("lat", "lon").orderBy("id"))
+    kept = base.withColumn("_rn", first_ids).where(F.col("_rn") <= k + 1).drop("_rn")
+    side = F.pow(F.lit(2.0), F.col("_level") - KNN_LEVELS) * (max_km * 1.000001)
+    shift = 0.37 * (KNN_LEVELS - F.col("_level"))
+    level = F.explode(F.sequence(F.lit(0), F.lit(KNN_LEVELS))).alias("_level")
+    placed = kept.select("*", level).select("*", *_cells("lat", "lon", side, shift))
+    crowded = placed.groupBy("_level", *CELL).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > k).drop("_n")
+    asked = base.withColumnsRenamed({"id": "id0", "lat": "lat0", "lon": "lon0"})
+    own = asked.select("*", level).select("*", *_cells("lat0", "lon0", side, shift)).join(crowded, ["_level", *CELL], "left_semi")
+    own = own.groupBy("id0", "lat0", "lon0").agg(F.min("_level").alias("_first"))
+    # A point without a crowded cube looks as far as max_km.
+    up = asked.withColumn("_level", F.lit(KNN_LEVELS)).unionByName(own.select("id0", "lat0", "lon0", F.least(F.col("_first") + 1, F.lit(KNN_LEVELS)).alias("_level")))
+    up = up.groupBy("id0", "lat0", "lon0").agg(F.min("_level").alias("_level"))
+    near = _around(up.select("*", *_cells("lat0", "lon0", side, shift))).join(placed, ["_level", *CELL]).where("id <> id0")
+    return near.select("id0", "id", haversine("lat0", "lon0", "lat", "lon").alias("d")).where(F.col("d") <= max_km)
+
+
 def knn_join(points: DataFrame, key: str, k: int, max_km: float, lat: str = "latitude", lon: str = "longitude") -> DataFrame:
     """The k nearest other points within max_km: (key, neighbor_<key>, distance_km, rank). Fewer rows where fewer are near.
 
-    Points fall into cubes max_km wide; a point meets those around its own, so the join is on cube numbers and never on
-    all pairs. Ranks beyond k are cut in each task before the rows are shuffled.
+    Ties go to the smaller id. Ranks beyond k are cut in each task before the rows are shuffled.
     """
-    cell = points.select(F.col(key).alias("id"), F.col(lat).alias("lat"), F.col(lon).alias("lon")).where("lat is not null and lon is not null").select("*", *_cells("lat", "lon", max_km * 1.000001))
-    wide = _around(cell.withColumnsRenamed({"id": "id0", "lat": "lat0", "lon": "lon0"}))
-    near = wide.join(cell, list(CELL)).where("id <> id0").withColumn("d", haversine("lat0", "lon0", "lat", "lon")).where(F.col("d") <= max_km)
+    near = knn_candidates(points, key, k, max_km, lat, lon)
     ranked = near.select("id0", "id", "d", F.row_number().over(W.partitionBy("id0").orderBy("d", "id")).alias("rank")).where(F.col("rank") <= k)
     return ranked.select(F.col("id0").alias(key), F.col("id").alias(f"neighbor_{key}"), F.col("d").alias("distance_km"), "rank")
 
@@ -117,7 +142,14 @@ def align_violations(predictions: DataFrame, keys_df: DataFrame, keys: list[str]
 
 
 def strict_align(predictions: DataFrame, keys_df: DataFrame, keys: list[str]) -> DataFrame:
-    bad = align_violations(predictions, keys_df, keys).limit(1).collect()
-    if bad:
-        raise ValueError(f"predictions do not fit the keys: {bad[0].asDict()}")
-    return keys_df.select(*keys).join(predictions, keys)
+    """The predictions of the keys; running it raises if a key is predicted twice or not at all. Extra ones are ignored.
+
+    The guard is part of the plan, so the predictions are computed once: they are counted by key where the join needs them
+    together anyway.
+    """
+    values = [c for c in predictions.columns if c not in keys]
+    per = predictions.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *[F.first(c).alias(c) for c in values])
+    met = keys_df.select(*keys).join(per, keys, "left")
+    say = lambda what: F.concat(F.lit(f"predictions do not fit the keys: {what} "), F.to_json(F.struct(*keys)))
+    met = met.where(F.assert_true(F.col("_n").isNotNull(), say("missing")).isNull() & F.assert_true(F.col("_n") == 1, say("duplicate")).isNull())
+    return met.select(*keys, *values)

@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .grid import ffill, over
+from .grid import in_blocks, with_ffill, with_place
 from .quantiles import exact_quantiles
 
 
@@ -28,8 +27,7 @@ def missing_mask(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def station_arrays(df: DataFrame, columns: list[str], masked: list[str], key: str = "station_id", ts: str = "timestamp", fit_on: DataFrame | None = None) -> DataFrame:
     """Masks, then forward fill inside the station, then the column's median (of the whole table unless fit_on)."""
-    w = over(key, ts)
-    filled = missing_mask(df, masked).withColumns({c: ffill(c, w) for c in columns})
+    filled = with_ffill(missing_mask(df, masked), columns, key, ts)
     return impute_median(filled, df if fit_on is None else fit_on, columns, None)
 
 
@@ -55,13 +53,30 @@ def denormalize(df: DataFrame, train: DataFrame, prediction: str, target: str) -
 
 def sequence_samples(df: DataFrame, length: int, needed: list[str], key: str = "station_id", ts: str = "timestamp") -> DataFrame:
     """Rows with a full window behind them and all targets, with their place t_idx."""
-    placed = df.withColumn("t_idx", (F.row_number().over(over(key, ts)) - 1).cast("long"))
+    placed = with_place(df, "t_idx", key, ts)
     return placed.where(F.col("t_idx") >= length - 1).na.drop(subset=needed)
 
 
-def sequence_windows(df: DataFrame, channels: list[str], length: int, needed: list[str], key: str = "station_id", ts: str = "timestamp") -> DataFrame:
-    """(key, ts, window array<array<double>>): the last `length` rows up to and with this one."""
-    w = W.partitionBy(key).orderBy(ts).rowsBetween(1 - length, 0)
+def sequence_chunks(df: DataFrame, channels: list[str], length: int, needed: list[str], key: str = "station_id", ts: str = "timestamp", block: int = 24) -> DataFrame:
+    """(key, _block, rows array<struct<ts, own, ready, cells>>): the hours of a block after the length - 1 hours before it.
+
+    df is a regular grid. Windows are slices of a chunk, so a row is stored about length / block + 1 times, not length
+    times. ready: the row has all that is needed of it.
+    """
+    ready = F.lit(True)
+    for c in needed:
+        ready &= F.col(c).isNotNull()
     cell = F.array(*[F.col(c).cast("double") for c in channels])
-    rows = df.select(key, ts, *needed, F.collect_list(cell).over(w).alias("window"))
-    return rows.where(F.size("window") == length).na.drop(subset=needed).select(key, ts, "window")
+    rows = in_blocks(df, ts, max(block, length - 1), length - 1, 0)
+    one = F.struct(F.col(ts).alias("ts"), F.col("_own").alias("own"), ready.alias("ready"), cell.alias("cells"))
+    return rows.groupBy(key, "_block").agg(F.array_sort(F.collect_list(one)).alias("rows"))
+
+
+def sequence_windows(df: DataFrame, channels: list[str], length: int, needed: list[str], key: str = "station_id", ts: str = "timestamp", block: int = 24) -> DataFrame:
+    """(key, ts, window array<array<double>>): the last `length` rows up to and with this one; rows without a full one go."""
+    chunks = sequence_chunks(df, channels, length, needed, key, ts, block).where(F.size("rows") >= length)
+    at = chunks.select(key, "rows", F.explode(F.sequence(F.lit(length - 1), F.size("rows") - 1)).alias("_i"))
+    row = F.get("rows", F.col("_i"))
+    at = at.where(row["own"] & row["ready"])
+    window = F.transform(F.slice("rows", F.col("_i") - length + 2, length), lambda r: r["cells"])
+    return at.select(key, row["ts"].alias(ts), window.alias("window"))

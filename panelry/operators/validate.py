@@ -53,27 +53,43 @@ class Rules:
     unique: tuple[str, ...] = ()
 
 
+def _text(value: Column, kind: str) -> Column:
+    return (F.round(value, 6) if kind in ("double", "float") else value).cast("string")
+
+
 def validate(df: DataFrame, rules: Rules) -> DataFrame:
-    """(column_name, check_name, failures): every rule, also those that hold."""
+    """(column_name, check_name, failures, lowest, highest): every rule, also those that hold.
+
+    lowest and highest are the smallest and the largest value that fails, as text (floating ones with six decimals); null
+    where nothing fails, and for rules of a whole row. All of it is one aggregation, whose result has a fixed size; the
+    unique key takes another, and shows keys that occur more than once.
+    """
     have, counts, fixed = dict(df.dtypes), [], []
+    none = F.lit(None).cast("string")
     for c, (kind, nullable, required) in rules.types.items():
         if c not in have:
             fixed.append((c, "required", int(required)))
             continue
         fixed.append((c, f"type({kind})", int(have[c] != kind)))
         if not nullable:
-            counts.append((c, "not_null", F.count_if(F.col(c).isNull())))
-    counts += [(c.column, c.name, F.count_if(~c.holds)) for c in rules.checks if not c.column or c.column in have]
-    spark = df.sparkSession
-    out = spark.createDataFrame(fixed, "column_name string, check_name string, failures long") if fixed else None
+            counts.append((c, "not_null", F.count_if(F.col(c).isNull()), none, none))
+    for c in rules.checks:
+        if not c.column or c.column in have:
+            bad = F.when(~c.holds, F.col(c.column)) if c.column else None
+            ends = (none, none) if bad is None else tuple(_text(f(bad), have[c.column]) for f in (F.min, F.max))
+            counts.append((c.column, c.name, F.count_if(~c.holds), *ends))
+    out = None
+    if fixed:
+        each = F.array(*[F.struct(F.lit(c).alias("column_name"), F.lit(k).alias("check_name"), F.lit(n).cast("long").alias("failures"), none.alias("lowest"), none.alias("highest")) for c, k, n in fixed])
+        out = df.sparkSession.range(1).select(F.inline(each))
     if counts:
-        one = df.agg(*[n.alias(f"c{i}") for i, (_, _, n) in enumerate(counts)])
-        named = F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.lit(k).alias("check_name"), F.col(f"c{i}").alias("failures")) for i, (c, k, _) in enumerate(counts)]))
-        rows = one.select(named.alias("r")).select("r.*")
-        out = rows if out is None else out.union(rows)
+        one = df.agg(*[x.alias(f"{n}{i}") for i, (_, _, *three) in enumerate(counts) for n, x in zip("clh", three, strict=True)])
+        named = F.inline(F.array(*[F.struct(F.lit(c).alias("column_name"), F.lit(k).alias("check_name"), F.col(f"c{i}").alias("failures"), F.col(f"l{i}").alias("lowest"), F.col(f"h{i}").alias("highest")) for i, (c, k, *_) in enumerate(counts)]))
+        out = one.select(named) if out is None else out.union(one.select(named))
     if rules.unique:
-        twice = duplicates(df, list(rules.unique)).agg(F.count(F.lit(1)).alias("failures"))
-        rows = twice.select(F.lit(", ".join(rules.unique)).alias("column_name"), F.lit("unique").alias("check_name"), "failures")
+        key = F.struct(*rules.unique)
+        twice = duplicates(df, list(rules.unique)).agg(F.count(F.lit(1)).alias("failures"), F.to_json(F.min(key)).alias("lowest"), F.to_json(F.max(key)).alias("highest"))
+        rows = twice.select(F.lit(", ".join(rules.unique)).alias("column_name"), F.lit("unique").alias("check_name"), "failures", "lowest", "highest")
         out = rows if out is None else out.union(rows)
     return out
 
@@ -85,7 +101,7 @@ def duplicates(df: DataFrame, keys: list[str]) -> DataFrame:
 def validate_or_raise(df: DataFrame, rules: Rules, name: str) -> DataFrame:
     bad = validate(df, rules).where("failures > 0").limit(50).collect()
     if bad:
-        raise ValueError(f"{name}: " + "; ".join(f"{r.column_name} {r.check_name}: {r.failures}" for r in bad))
+        raise ValueError(f"{name}: " + "; ".join(f"{r.column_name} {r.check_name}: {r.failures} ({r.lowest} to {r.highest})" for r in bad))
     return df
 
 
@@ -114,3 +130,12 @@ def missing_percent(df: DataFrame, columns: list[str]) -> DataFrame:
     """(column_name, pct): share of nulls in percent, two decimals."""
     one = df.agg(*[F.round(F.avg(F.col(c).isNull().cast("double")) * 100, 2).alias(c) for c in columns])
     return one.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("pct")) for c in columns])).alias("r")).select("r.*")
+
+
+def feature_report(features: DataFrame, edges: DataFrame, meta: DataFrame, columns: list[str], key: str) -> DataFrame:
+    """One row: rows, stations, features, edges, stations without neighbours, and the share of each target that is missing."""
+    targets = [c for c in features.columns if c.startswith("target_")]
+    share = [F.round(F.avg(F.col(c).isNull().cast("double")) * 100, 2).alias(f"{c}_missing_pct") for c in targets]
+    one = features.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct(key).alias("stations"), F.lit(len(columns)).cast("long").alias("n_features"), *share)
+    lone = meta.join(edges, key, "left_anti").agg(F.count(F.lit(1)).alias("isolated"))
+    return one.crossJoin(F.broadcast(edges.agg(F.count(F.lit(1)).alias("edges")))).crossJoin(F.broadcast(lone))

@@ -115,15 +115,16 @@ def parse_ts_24h(spark, sf):
 
 @query(
     "validate_schema",
-    f"""WITH {PANEL}, {META}, p AS (SELECT * FROM panel JOIN meta USING (station_id))
-SELECT 'station_id' AS column_name, 'not_null' AS check_name, count(*) FILTER (station_id IS NULL)::BIGINT AS failures FROM p
-UNION ALL SELECT 'station_id', 'type(bigint)', 0 UNION ALL SELECT 'pm25', 'type(double)', 0 UNION ALL SELECT 'wind', 'required', 1
-UNION ALL SELECT 'station_id', 'ge(1)', count(*) FILTER (NOT station_id >= 1) FROM p
-UNION ALL SELECT 'pm25', 'in_range(0, 100)', count(*) FILTER (NOT pm25 BETWEEN 0 AND 100) FROM p
-UNION ALL SELECT 'latitude', 'in_range(50.5, 53)', count(*) FILTER (NOT latitude BETWEEN 50.5 AND 53) FROM p
-UNION ALL SELECT 'no2', 'le(90)', count(*) FILTER (NOT no2 <= 90) FROM p
-UNION ALL SELECT '', 'no2_below_pm25', count(*) FILTER (NOT no2 <= pm25) FROM p
-UNION ALL SELECT 'station_id, timestamp', 'unique', 0""",
+    f"""WITH {PANEL}, {META}, p AS (SELECT * FROM panel JOIN meta USING (station_id)),
+b AS (SELECT CASE WHEN NOT station_id >= 1 THEN station_id END AS s, CASE WHEN NOT pm25 BETWEEN 0 AND 100 THEN pm25 END AS x, CASE WHEN NOT latitude BETWEEN 50.5 AND 53 THEN latitude END AS l, CASE WHEN NOT no2 <= 90 THEN no2 END AS n FROM p)
+SELECT 'station_id' AS column_name, 'not_null' AS check_name, count(*) FILTER (station_id IS NULL)::BIGINT AS failures, NULL::VARCHAR AS lowest, NULL::VARCHAR AS highest FROM p
+UNION ALL SELECT 'station_id', 'type(bigint)', 0, NULL, NULL UNION ALL SELECT 'pm25', 'type(double)', 0, NULL, NULL UNION ALL SELECT 'wind', 'required', 1, NULL, NULL
+UNION ALL SELECT 'station_id', 'ge(1)', count(s), min(s)::VARCHAR, max(s)::VARCHAR FROM b
+UNION ALL SELECT 'pm25', 'in_range(0, 100)', count(x), round(min(x), 6)::VARCHAR, round(max(x), 6)::VARCHAR FROM b
+UNION ALL SELECT 'latitude', 'in_range(50.5, 53)', count(l), round(min(l), 6)::VARCHAR, round(max(l), 6)::VARCHAR FROM b
+UNION ALL SELECT 'no2', 'le(90)', count(n), round(min(n), 6)::VARCHAR, round(max(n), 6)::VARCHAR FROM b
+UNION ALL SELECT '', 'no2_below_pm25', count(*) FILTER (NOT no2 <= pm25), NULL, NULL FROM p
+UNION ALL SELECT 'station_id, timestamp', 'unique', 0, NULL, NULL""",
 )
 def validate_schema(spark, sf):
     p = t.panel(spark, sf).join(dimension(t.meta(spark, sf)), "station_id")
@@ -135,12 +136,12 @@ def validate_schema(spark, sf):
     return validate.validate(p, rules)
 
 
-@query("check_isin", "SELECT 'event_type' AS column_name, 'isin' AS check_name, count(*) FILTER (event_type NOT IN ('click', 'view', 'purchase', 'error'))::BIGINT AS failures FROM events")
+@query("check_isin", "SELECT 'event_type' AS column_name, 'isin' AS check_name, count(*)::BIGINT AS failures, min(event_type) AS lowest, max(event_type) AS highest FROM events WHERE event_type NOT IN ('click', 'view', 'purchase', 'error')")
 def check_isin(spark, sf):
     return validate.validate(t.source(spark, sf, "events"), validate.Rules({}, (validate.isin("event_type", ["click", "view", "purchase", "error"]),)))
 
 
-@query("check_row_expr", "SELECT '' AS column_name, 'one_hour' AS check_name, count(*) FILTER (l_linenumber % 5 = 4)::BIGINT AS failures FROM lineitem")
+@query("check_row_expr", "SELECT '' AS column_name, 'one_hour' AS check_name, count(*) FILTER (l_linenumber % 5 = 4)::BIGINT AS failures, NULL::VARCHAR AS lowest, NULL::VARCHAR AS highest FROM lineitem")
 def check_row_expr(spark, sf):
     hours = F.when(F.col("l_linenumber") % 5 == 4, 3).otherwise(1)
     rows = t.source(spark, sf, "lineitem").select(F.col("l_shipdate").alias("ts_start"), (F.col("l_shipdate") + F.make_dt_interval(F.lit(0), hours)).alias("ts_end"))

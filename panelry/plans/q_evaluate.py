@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from panelry.functions.scalars import calendar
-from panelry.operators import align, clean, models, prepare, split
+from panelry.operators import align, clean, graph, models, prepare, split, validate
 from panelry.operators import grid as g
 from panelry.operators import metrics as m
 from panelry.operators.quantiles import exact_quantiles
@@ -64,7 +64,13 @@ def assert_target_offset(spark, sf):
     return split.target_offset_violations(p, "y_ts", "timestamp", 1).select("station_id", "timestamp")
 
 
-@query("dataset_fingerprint")
+_PRINTED = """WITH r AS (SELECT md5(o_custkey || chr(10) || strftime(o_orderdate, '%Y-%m-%d %H:%M:%S.%f') || chr(10) || o_orderkey || chr(10) || o_orderpriority || chr(10) || o_orderstatus || chr(10)
+ || floor(o_totalprice)::BIGINT || '+' || floor((o_totalprice - floor(o_totalprice)) * 4503599627370496.0::DOUBLE)::BIGINT || chr(10)) AS h FROM orders),
+s AS (SELECT count(*) AS n, sum(('0x' || left(h, 16))::UBIGINT::HUGEINT) % 18446744073709551616 AS a, sum(('0x' || right(h, 16))::UBIGINT::HUGEINT) % 18446744073709551616 AS b FROM r)
+SELECT left(md5('o_custkey,o_orderdate,o_orderkey,o_orderpriority,o_orderstatus,o_totalprice|' || n || '|' || a || '|' || b), 12) AS fingerprint FROM s"""
+
+
+@query("dataset_fingerprint", _PRINTED)
 def dataset_fingerprint(spark, sf):
     return split.fingerprint(t.source(spark, sf, "orders"))
 
@@ -143,15 +149,6 @@ def sequence_samples(spark, sf):
     return prepare.sequence_samples(grid, 24, ["y"]).select("station_id", "timestamp", "t_idx")
 
 
-@query("sequence_windows", f"WITH {_IDX}, s AS (SELECT *, sum(pm25) OVER (PARTITION BY station_id ORDER BY timestamp ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS total FROM i) SELECT station_id, timestamp, 6::BIGINT AS n, round(total, 9) AS total FROM s WHERE t_idx >= 5 AND y IS NOT NULL")
-def sequence_windows(spark, sf):
-    grid = t.grid(spark, sf).withColumn("y", F.lead("pm25", 1).over(g.over()))
-    w = prepare.sequence_windows(grid, ["pm25", "no2"], 6, ["y"])
-    v = F.filter(F.transform("window", lambda r: r[0]), lambda x: x.isNotNull())
-    total = F.when(F.size(v) > 0, F.aggregate(v, F.lit(0.0), lambda a, b: a + b))
-    return rounded(w.select("station_id", "timestamp", F.size("window").cast("long").alias("n"), total.alias("total")))
-
-
 _STATS = "st AS (SELECT avg(pm25) AS mean, CASE WHEN stddev_pop(pm25) > 1e-6 THEN stddev_pop(pm25) ELSE 1 END AS std FROM split WHERE split = 'train')"
 
 
@@ -274,11 +271,14 @@ def model_boosted(spark, sf):
 
 def _everything(spark, sf):
     """The feature table with every column that a tier names; what the tables do not measure is null."""
+    return build_feature_table(_wide_panel(spark, sf), t.meta(spark, sf))
+
+
+def _wide_panel(spark, sf):
     keys = ["station_id", "timestamp"]
-    p = t.panel(spark, sf)
     wide = align.weather_panel(t.weather(spark, sf), t.mapping(spark, sf), t.METRICS)
-    panel = align.build_panel(p, [wide], t.meta(spark, sf), keys).withColumns({c: F.lit(None).cast("double") for c in ("humidity_pct", "wind_speed_ms")})
-    return build_feature_table(clean.flag_outliers_iqr(panel, "pm25", "pm25_is_outlier"), t.meta(spark, sf))
+    panel = align.build_panel(t.panel(spark, sf), [wide], t.meta(spark, sf), keys).withColumns({c: F.lit(None).cast("double") for c in ("humidity_pct", "wind_speed_ms")})
+    return clean.flag_outliers_iqr(panel, "pm25", "pm25_is_outlier")
 
 
 _MADE = ["{}"] + [f"{{}}_lag_{h}h" for h in (1, 2, 3, 6, 12, 24)] + [f"{{}}_roll{f}_{n}h" for f in ("mean", "std", "max", "min") for n in (3, 6, 24)] + ["{}_roc_1h", "{}_trend_6h"]
@@ -306,11 +306,97 @@ def gnn_feature_columns(spark, sf):
     return f.agg(F.count(F.lit(1)).alias("n_rows")).select("n_rows", F.explode(F.array(*[F.lit(c) for c in names])).alias("name"))
 
 
+#: What a sequence model sees of an hour, and the channels whose gaps it is told of.
+CHANNELS = ["pm25", "no2", "temperature_c", "humidity_pct", "wind_speed_ms", "wind_direction_sin", "wind_direction_cos", "pressure_msl_hpa", "precipitation_mm", "hour_sin", "hour_cos", "day_of_week_sin", "day_of_week_cos"]
+MASKED = ["pm25", "precipitation_mm"]
+_WIDE = f"""{t.GRID}, {t.WEATHER[len(t.EV) + 2:]}, wide AS (SELECT dwd_station_id - 1000 AS station_id, timestamp, max(temperature_c) AS temperature_c, max(wind_direction_deg) AS wind_direction_deg,
+ max(pressure_msl_hpa) AS pressure_msl_hpa, max(precipitation_mm) AS precipitation_mm FROM weather GROUP BY ALL),
+bound AS (SELECT quantile_cont(pm25, 0.25) AS q1, quantile_cont(pm25, 0.75) AS q3 FROM panel),
+known AS (SELECT p.station_id, p.timestamp, temperature_c, wind_direction_deg, pressure_msl_hpa, precipitation_mm, coalesce(pm25 < q1 - 3 * (q3 - q1) OR pm25 > q3 + 3 * (q3 - q1), false) AS pm25_is_outlier FROM panel p LEFT JOIN wide USING (station_id, timestamp), bound),
+every AS (SELECT g.*, k.* EXCLUDE (station_id, timestamp), NULL::DOUBLE AS humidity_pct, NULL::DOUBLE AS wind_speed_ms, sin(radians(wind_direction_deg)) AS wind_direction_sin, cos(radians(wind_direction_deg)) AS wind_direction_cos,
+ sin(2 * pi() * hour(g.timestamp) / 24) AS hour_sin, cos(2 * pi() * hour(g.timestamp) / 24) AS hour_cos, sin(2 * pi() * (isodow(g.timestamp) - 1) / 7) AS day_of_week_sin, cos(2 * pi() * (isodow(g.timestamp) - 1) / 7) AS day_of_week_cos,
+ (pm25 IS NULL)::INT::DOUBLE AS pm25_was_missing, (precipitation_mm IS NULL)::INT::DOUBLE AS precipitation_mm_was_missing FROM grid g LEFT JOIN known k USING (station_id, timestamp))"""
+_ALL_CHANNELS = CHANNELS + [f"{c}_was_missing" for c in MASKED]
+_CELLS = ", ".join(f"count(v.{c})::BIGINT AS n_{c}, round(sum(v.{c} * (24 - date_diff('hour', v.timestamp, g.timestamp))), 6) AS sum_{c}" for c in _ALL_CHANNELS)
+
+
+@query("sequence_windows", f"""WITH {_WIDE}, y AS (SELECT *, lead(pm25) OVER (PARTITION BY station_id ORDER BY timestamp) AS y FROM every)
+SELECT g.station_id, g.timestamp, {_CELLS} FROM y g JOIN every v ON v.station_id = g.station_id AND v.timestamp BETWEEN g.timestamp - INTERVAL 23 HOUR AND g.timestamp WHERE g.y IS NOT NULL GROUP BY ALL HAVING count(*) = 24""")
+def sequence_windows(spark, sf):
+    """Windows of 24 hours and 15 channels: of each channel its values, and their sum weighted by their place."""
+    f = prepare.missing_mask(_everything(spark, sf), MASKED)
+    w = prepare.sequence_windows(f, _ALL_CHANNELS, 24, ["target_pm25_h1"])
+    each = w.select("station_id", "timestamp", F.posexplode("window").alias("place", "row"))
+    cells = [x for i, c in enumerate(_ALL_CHANNELS) for x in (F.count(F.get("row", F.lit(i))).alias(f"n_{c}"), F.sum(F.get("row", F.lit(i)) * (F.col("place") + 1)).alias(f"sum_{c}"))]
+    return rounded(each.groupBy("station_id", "timestamp").agg(*cells), 6)
+
+
+def _share_null(c: str) -> str:
+    """SQL of a column of the feature table, from the columns of `every` and `near`."""
+    for p in ("pm25", "no2"):
+        if c.startswith(f"{p}_lag_"):
+            return f"lag({p}, {c.split('_')[2][:-1]}) OVER w"
+        if c.startswith(f"{p}_roll"):
+            kind, n = c.split("_")[1][4:], int(c.split("_")[2][:-1])
+            return f"{ {'mean': 'avg', 'std': 'stddev_samp'}.get(kind, kind)}({p}) OVER (w ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
+        if c == f"{p}_roc_1h":
+            return f"{p} - lag({p}) OVER w"
+        if c == f"{p}_trend_6h":
+            return f"{p} - lag({p}, 6) OVER w"
+    special = {"pressure_tendency_3h": "pressure_msl_hpa - lag(pressure_msl_hpa, 3) OVER w", "neighbor_pm25_mean": "m", "neighbor_pm25_count": "c", "neighbor_pm25_roc_1h": "m - lag(m) OVER w", "nearest_neighbor_distance_km": "c", "pm25_is_outlier": "pm25_is_outlier"}
+    return special.get(c, c if c in [*_NAMES["B"], "pm25", "no2"] else "1")
+
+
+_EVERY_NAME = [c for tier in "ABC" for c in _NAMES[tier]]
+_NEAR = f"near AS (SELECT e.station_id, v.timestamp, avg(v.pm25) AS m, count(v.pm25) AS c FROM edges e JOIN grid v ON v.station_id = e.neighbor_station_id GROUP BY ALL)"
+_SHARES = f"""{_WIDE}, {t.EDGES}, {_NEAR}, cols AS (SELECT {", ".join(f"{_share_null(c)} AS {c}" for c in _EVERY_NAME)}, lead(pm25, 1) OVER w AS target_pm25_h1, lead(pm25, 2) OVER w AS target_pm25_h2, lead(no2, 1) OVER w AS target_no2_h1
+ FROM every LEFT JOIN near USING (station_id, timestamp) WINDOW w AS (PARTITION BY station_id ORDER BY timestamp)),
+shares AS (SELECT {", ".join(f"round(avg(({c} IS NULL)::INT) * 100, 2) AS {c}" for c in [*_EVERY_NAME, "target_pm25_h1", "target_pm25_h2", "target_no2_h1"])} FROM cols)"""
+
+
+@query("most_missing_features", f"WITH {_SHARES}, l AS (UNPIVOT (SELECT {', '.join(_EVERY_NAME)} FROM shares) ON COLUMNS(*) INTO NAME column_name VALUE pct) SELECT column_name, pct FROM l ORDER BY pct DESC, column_name LIMIT 10")
+def most_missing_features(spark, sf):
+    f = _everything(spark, sf)
+    return m.top_k(validate.missing_percent(f, split.feature_columns(f)), [F.col("pct").desc(), F.col("column_name")], 10)
+
+
+@query("feature_report", f"""WITH {_SHARES} SELECT (SELECT count(*) FROM grid)::BIGINT AS n_rows, (SELECT count(*) FROM meta)::BIGINT AS stations, {len(_EVERY_NAME)}::BIGINT AS n_features, (SELECT count(*) FROM edges)::BIGINT AS edges,
+ (SELECT count(*) FROM meta WHERE station_id NOT IN (SELECT station_id FROM edges))::BIGINT AS isolated, target_pm25_h1 AS target_pm25_h1_missing_pct, target_pm25_h2 AS target_pm25_h2_missing_pct, target_no2_h1 AS target_no2_h1_missing_pct FROM shares""")
+def feature_report(spark, sf):
+    meta = t.meta(spark, sf)
+    edges = t.stored(align.knn_join(meta, "station_id", 5, 100.0))
+    f = build_feature_table(_wide_panel(spark, sf), meta, edges=edges)
+    return validate.feature_report(f, edges, meta, split.feature_columns(f), "station_id")
+
+
 @query("ablation_experiment")
 def ablation_experiment(spark, sf):
-    """The three tiers, each by some of its columns: exact medians of all would fill one task's memory."""
+    """The tiers with all their columns, and a fourth: weather and what two hops of messages bring of every node feature."""
     f = split.chronological_split(_everything(spark, sf))
-    grown = {"A": ["pm25", "pm25_lag_1h", "pm25_rollmean_24h", "hour_sin"], "B": ["temperature_c", "pressure_tendency_3h"], "C": ["latitude", "neighbor_pm25_mean"]}
-    tiers = {tier: [c for inner in grown if inner <= tier for c in grown[inner]] for tier in grown}
-    rows = f.select("split", "target_pm25_h1", *tiers["C"])
-    return models.ablation(rows, tiers, "target_pm25_h1", "pm25", models.linear)
+    ready = t.stored(split.feature_matrix(f, split.tiers()["C"], ["station_id", "timestamp", "split", "target_pm25_h1", "target_pm25_h2"]))
+    columns = {tier: split.matrix_columns(names) for tier, names in split.tiers().items()}
+    nodes = split.graph_feature_columns(columns["C"])
+    edges = t.stored(align.knn_join(t.meta(spark, sf), "station_id", 5, 100.0))
+    told = graph.message_mean(ready, edges, nodes)
+    rows = t.stored(ready.join(told, ["station_id", "timestamp"]))
+    columns["D"] = columns["B"] + [f"message_{c}" for c in nodes]
+    out = [models.ablation(rows, columns, y, "pm25", models.linear).withColumn("target", F.lit(y)) for y in ("target_pm25_h1", "target_pm25_h2")]
+    return out[0].union(out[1])
+
+
+_TOLD = ["pm25", "no2", "temperature_c", "pm25_lag_3h", "no2_rollmean_6h", "hour_sin"]
+_HOP = ", ".join("avg({c}) AS {c}".format(c=c) for c in _TOLD)
+
+
+@query("message_mean", f"""WITH {_WIDE}, {t.EDGES}, b AS (SELECT station_id AS s, neighbor_station_id AS t FROM edges UNION SELECT neighbor_station_id, station_id FROM edges),
+x AS (SELECT station_id, timestamp, pm25, no2, temperature_c, hour_sin, lag(pm25, 3) OVER w AS pm25_lag_3h, avg(no2) OVER (w ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS no2_rollmean_6h FROM every WINDOW w AS (PARTITION BY station_id ORDER BY timestamp)),
+one AS (SELECT s AS station_id, timestamp, {_HOP} FROM b JOIN x ON x.station_id = t GROUP BY ALL), two AS (SELECT s AS station_id, timestamp, {_HOP} FROM b JOIN one ON one.station_id = t GROUP BY ALL)
+SELECT x.station_id, x.timestamp, {", ".join(f"round(two.{c}, 9) AS message_{c}" for c in _TOLD)} FROM x LEFT JOIN two USING (station_id, timestamp)""")
+def message_mean(spark, sf):
+    """Two hops of every node feature; the result shows some of them."""
+    f = _everything(spark, sf)
+    columns = split.graph_feature_columns(split.tiers()["C"])
+    ready = split.feature_matrix(f, columns, ["station_id", "timestamp"])
+    edges = t.stored(align.knn_join(t.meta(spark, sf), "station_id", 5, 100.0))
+    told = graph.message_mean(ready, edges, split.matrix_columns(columns))
+    return rounded(told.select("station_id", "timestamp", *[f"message_{c}" for c in _TOLD]))

@@ -16,7 +16,8 @@ _W = "WINDOW w AS (PARTITION BY station_id ORDER BY timestamp)"
 
 
 def _edges(spark, sf):
-    return align.knn_join(t.meta(spark, sf), "station_id", 5, 100.0)
+    """Computed once and stored: what reads them counts them first."""
+    return t.stored(align.knn_join(t.meta(spark, sf), "station_id", 5, 100.0))
 
 
 @query("haversine", f"WITH {EV}, {META} SELECT a.station_id, b.station_id AS other, round({t.DISTANCE.format(a='a', b='b')}, 9) AS km FROM meta a JOIN meta b ON b.station_id = a.station_id + 1")
@@ -85,8 +86,9 @@ def regularize_grid(spark, sf):
     return rounded(t.grid(spark, sf))
 
 
-def _on_grid(spark, sf, cols):
-    return rounded(t.grid(spark, sf).select("station_id", "timestamp", *[c.alias(n) for n, c in cols.items()]))
+def _on_grid(spark, sf, make):
+    f = g.with_windows(t.grid(spark, sf), make)
+    return rounded(f.select("station_id", "timestamp", *make(g.over_block())))
 
 
 def _sql(cols: str) -> str:
@@ -111,27 +113,27 @@ _TARGETS = "round(lead(pm25, 1) OVER w, 9) AS target_pm25_h1, round(lead(pm25, 2
 
 @query("lag_features", _sql(_lags("pm25")))
 def lag_features(spark, sf):
-    return _on_grid(spark, sf, g.lag_features("pm25", g.over()))
+    return _on_grid(spark, sf, lambda w: g.lag_features("pm25", w))
 
 
 @query("rolling_features", _sql(_rolls("pm25")))
 def rolling_features(spark, sf):
-    return _on_grid(spark, sf, g.rolling_features("pm25", g.over()))
+    return _on_grid(spark, sf, lambda w: g.rolling_features("pm25", w))
 
 
 @query("rate_of_change", _sql(_ROC.format(c="pm25")))
 def rate_of_change(spark, sf):
-    return _on_grid(spark, sf, g.rate_of_change("pm25", g.over()))
+    return _on_grid(spark, sf, lambda w: g.rate_of_change("pm25", w))
 
 
 @query("trend", _sql(_TREND.format(c="pm25")))
 def trend(spark, sf):
-    return _on_grid(spark, sf, g.trend("pm25", g.over()))
+    return _on_grid(spark, sf, lambda w: g.trend("pm25", w))
 
 
 @query("pollution_features", _sql(", ".join([_lags("no2"), _rolls("no2"), _ROC.format(c="no2"), _TREND.format(c="no2")])))
 def pollution_features(spark, sf):
-    return _on_grid(spark, sf, g.pollution_features("no2", g.over()))
+    return _on_grid(spark, sf, lambda w: g.pollution_features("no2", w))
 
 
 @query("pressure_tendency", f"WITH {WEATHER}, p AS (SELECT dwd_station_id AS station_id, timestamp, max(pressure_msl_hpa) AS p FROM weather GROUP BY ALL) SELECT station_id, timestamp, round(p - lag(p, 3) OVER w, 9) AS pressure_tendency_3h FROM p {_W}")
@@ -142,17 +144,17 @@ def pressure_tendency(spark, sf):
 
 @query("targets", _sql(_TARGETS))
 def targets(spark, sf):
-    return _on_grid(spark, sf, g.targets("pm25", g.over(), (1, 2)))
+    return _on_grid(spark, sf, lambda w: g.targets("pm25", w, (1, 2)))
 
 
 @query("ffill_group", _sql("round(last_value(pm25 IGNORE NULLS) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 9) AS pm25"))
 def ffill_group(spark, sf):
-    return _on_grid(spark, sf, {"pm25": g.ffill("pm25", g.over())})
+    return rounded(g.with_ffill(t.grid(spark, sf), ["pm25"]).select("station_id", "timestamp", "pm25"))
 
 
 @query("cumcount", _sql("row_number() OVER w - 1 AS t_idx"))
 def cumcount(spark, sf):
-    return t.grid(spark, sf).select("station_id", "timestamp", g.cumcount(g.over()).cast("long").alias("t_idx"))
+    return g.with_place(t.grid(spark, sf)).select("station_id", "timestamp", "t_idx")
 
 
 _NEAR = f"""{GRID}, {EDGES}, n AS (SELECT e.station_id, v.timestamp, avg(v.pm25) AS m, count(v.pm25)::BIGINT AS c FROM edges e JOIN grid v ON v.station_id = e.neighbor_station_id GROUP BY ALL)"""
@@ -265,22 +267,17 @@ def replicate_graph(spark, sf):
     return graph.replicate_graph(_edges(spark, sf).select("station_id", "neighbor_station_id"), t.panel(spark, sf))
 
 
-@query("graph_snapshots", f"WITH {PANEL}, m AS (SELECT DISTINCT station_id FROM ev), h AS (SELECT DISTINCT timestamp FROM panel) SELECT h.timestamp, count(*)::BIGINT AS nodes, count(p.pm25)::BIGINT AS present, round(sum(p.pm25), 9) AS total FROM h CROSS JOIN m LEFT JOIN panel p ON p.station_id = m.station_id AND p.timestamp = h.timestamp GROUP BY ALL")
+@query("graph_snapshots", f"WITH {PANEL}, m AS (SELECT station_id, row_number() OVER (ORDER BY station_id) - 1 AS pos FROM (SELECT DISTINCT station_id FROM ev)), h AS (SELECT DISTINCT timestamp FROM panel) SELECT h.timestamp, pos // 8 AS tile, pos, round(pm25, 9) AS pm25, round(no2, 9) AS no2 FROM h CROSS JOIN m LEFT JOIN panel p ON p.station_id = m.station_id AND p.timestamp = h.timestamp")
 def graph_snapshots(spark, sf):
-    s = graph.graph_snapshots(t.panel(spark, sf), t.meta(spark, sf), ["pm25", "no2"])
-    n = s.select("timestamp", F.explode("nodes").alias("n")).select("timestamp", F.col("n.features").alias("f"))
-    return rounded(n.groupBy("timestamp").agg(F.count(F.lit(1)).alias("nodes"), F.count("f").alias("present"), F.sum(F.col("f")[0]).alias("total")))
+    """Every node of every snapshot, out of tiles of eight stations."""
+    s = graph.graph_snapshots(t.panel(spark, sf), t.meta(spark, sf), ["pm25", "no2"], tile=8)
+    n = s.select("timestamp", "tile", F.inline("nodes"))
+    return rounded(n.select("timestamp", "tile", "pos", F.get("features", F.lit(0)).alias("pm25"), F.get("features", F.lit(1)).alias("no2")))
 
 
 _BOTH = "b AS (SELECT station_id AS s, neighbor_station_id AS t FROM edges UNION SELECT neighbor_station_id, station_id FROM edges)"
 
 
-@query("message_mean", f"""WITH {GRID}, {EDGES}, {_BOTH}, one AS (SELECT s AS station_id, timestamp, avg(pm25) AS v FROM b JOIN grid ON grid.station_id = t GROUP BY ALL),
-two AS (SELECT s AS station_id, timestamp, avg(v) AS v FROM b JOIN one ON one.station_id = t GROUP BY ALL) SELECT g.station_id, g.timestamp, round(two.v, 9) AS message_pm25 FROM grid g LEFT JOIN two USING (station_id, timestamp)""")
-def message_mean(spark, sf):
-    return rounded(graph.message_mean(t.grid(spark, sf), _edges(spark, sf), ["pm25"]))
-
-
 @query("flagship", f"""WITH {GRID}, {t.SPLIT}, f AS (SELECT *, lead(pm25) OVER (PARTITION BY station_id ORDER BY timestamp) AS y FROM split), r AS (SELECT split, y, pm25 AS p FROM f WHERE y IS NOT NULL AND pm25 IS NOT NULL)
 SELECT split, count(*)::BIGINT AS n, round(avg(abs(y - p)), 9) AS mae, round(sqrt(avg((y - p) * (y - p))), 9) AS rmse, round(1 - sum((y - p) * (y - p)) / (var_pop(y) * count(*)), 9) AS r2,
        round(avg(CASE WHEN abs(y) >= 1 THEN abs((y - p) / y) END) * 100, 9) AS mape_pct, count(*) FILTER (NOT abs(y) >= 1)::BIGINT AS mape_excluded FROM r GROUP BY split""")

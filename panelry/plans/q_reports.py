@@ -167,21 +167,3 @@ def weather_card(spark, sf):
     e = t.source(spark, sf, "events").where("event_type = 'click'")
     row = e.agg(F.floor(F.max_by("value", F.struct("ts", "event_id"))).cast("double").alias("a"), F.lit(None).cast("double").alias("b"))
     return s.weather_card(row, {"a": ("temperature", "°C"), "b": ("wind", "m/s")})
-
-
-@query("feature_report", f"""WITH {GRID}, {EDGES}, f AS (SELECT *, lead(pm25) OVER (PARTITION BY station_id ORDER BY timestamp) AS y FROM grid)
-SELECT count(*)::BIGINT AS n_rows, count(DISTINCT station_id)::BIGINT AS stations, (SELECT count(*) FROM edges)::BIGINT AS edges, (SELECT count(*) FROM meta WHERE station_id NOT IN (SELECT station_id FROM edges))::BIGINT AS isolated, round(avg((y IS NULL)::INT) * 100, 2) AS target_missing_pct FROM f""")
-def feature_report(spark, sf):
-    meta = t.meta(spark, sf)
-    edges = knn_join(meta, "station_id", 5, 100.0)
-    f = t.grid(spark, sf).withColumns(g.targets("pm25", g.over(), (1,)))
-    one = f.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("station_id").alias("stations"), F.round(F.avg(F.col("target_pm25_h1").isNull().cast("double")) * 100, 2).alias("target_missing_pct"))
-    lone = meta.join(edges, "station_id", "left_anti").agg(F.count(F.lit(1)).alias("isolated"))
-    return one.crossJoin(F.broadcast(edges.agg(F.count(F.lit(1)).alias("edges")))).crossJoin(F.broadcast(lone))
-
-
-@query("most_missing_features", f"WITH {GRID} SELECT 'no2' AS column_name, round(avg((no2 IS NULL)::INT) * 100, 2) AS pct FROM grid")
-def most_missing_features(spark, sf):
-    return m.top_k(validate.missing_percent(t.grid(spark, sf), ["pm25", "no2"]), [F.col("pct").desc(), F.col("column_name")], 1)
-
-

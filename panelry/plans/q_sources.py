@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from panelry.operators.config import FeatureConfig
 from panelry.plans import tables as t
 from panelry.plans.registry import query
 from panelry.sources import formats
@@ -74,11 +75,15 @@ def sink_json_report(spark, sf):
     return formats.json_report(t.source(spark, sf, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n")))
 
 
-@query("sink_parquet", "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate FROM orders")
+@query("sink_parquet", "SELECT event_id, user_id, event_type, value, ts FROM events WHERE ts >= (SELECT date_trunc('day', min(ts)) + INTERVAL 1 DAY FROM events) UNION ALL SELECT event_id, user_id, event_type, -value, ts FROM events WHERE ts < (SELECT date_trunc('day', min(ts)) + INTERVAL 1 DAY FROM events)")
 def sink_parquet(spark, sf):
+    """Events by day; then the first day is written again with other values, and no other day with it."""
     path = t.folder(spark)
-    columns = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate"]
-    formats.write_parquet(t.source(spark, sf, "orders").select(columns), path, ["o_orderstatus"])
+    columns = ["event_id", "user_id", "event_type", "value", "ts"]
+    rows = t.source(spark, sf, "events").select(*columns, F.to_date("ts").alias("day"))
+    formats.write_by_day(rows, path, "day")
+    first = rows.join(F.broadcast(rows.agg(F.min("day").alias("first"))), F.col("day") == F.col("first")).drop("first")
+    formats.write_by_day(first.withColumn("value", -F.col("value")), path, "day")
     return formats.read_parquet(spark, path).select(columns)
 
 
@@ -104,3 +109,14 @@ def src_csv_results(spark, sf):
     kind = "model string, n long, mae double, r2 double"
     found = [formats.read_csv(spark, path, kind) for path in (_results(spark, sf), t.folder(spark))]
     return t.rounded(formats.union_sources(found).select("model", "n", "mae"))
+
+
+#: The numbers that features are made with.
+_CONFIG = {"lags": "1,2,3,6,12,24", "windows": "3,6,24", "trend": "6", "pressure": "3", "neighbors": "5", "max_km": "100.0", "horizons.pm25": "1,2", "horizons.no2": "1", "block": "672"}
+
+
+@query("src_yaml_config", f"SELECT name, value, n_rows FROM (VALUES {', '.join(f"('{k}', '{v}')" for k, v in _CONFIG.items())}) x(name, value), (SELECT count(*)::BIGINT AS n_rows FROM events)")
+def src_yaml_config(spark, sf):
+    """The configuration that build_feature_table() works with, beside the size of what it is applied to."""
+    n = t.source(spark, sf, "events").agg(F.count(F.lit(1)).alias("n_rows"))
+    return FeatureConfig().table(spark).crossJoin(F.broadcast(n))

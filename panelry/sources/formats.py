@@ -30,6 +30,16 @@ def write_parquet(df: DataFrame, path: str, by: list[str] | None = None) -> None
     (writer.partitionBy(*by) if by else writer).parquet(path)
 
 
+def write_by_day(df: DataFrame, path: str, day: str, rows_a_file: int = 5_000_000) -> None:
+    """A folder a day. Days that the table holds replace what was written for them; other days stay as they are.
+
+    Rows are dealt to tasks by day, so that a day has few files; a day beyond rows_a_file gets several, and a hot day is
+    split over tasks by the adaptive rebalancing of the exchange.
+    """
+    rows = df.hint("rebalance", day)
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", rows_a_file).partitionBy(day).parquet(path)
+
+
 def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Rows of a results file; a file that is not there has none."""
     try:

@@ -3,6 +3,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
 
 from panelry.functions import scalars
@@ -175,13 +176,19 @@ def test_split_and_guards(spark):
     assert split.target_offset_violations(x, "late", "timestamp", 1).count() == 100
     with pytest.raises(ValueError):
         split.require_empty(split.feature_time_violations(x, "late", "timestamp"), "feature from the future")
-    with pytest.raises(ValueError):
-        split.select_common_rows(df.union(df), ["pm25"], ["station_id", "timestamp"])
+    with pytest.raises(PySparkException, match="a key occurs twice"):
+        split.select_common_rows(df.union(df), ["pm25"], ["station_id", "timestamp"]).collect()
     assert [len(split.tiers()[x]) for x in "ABC"] == [54, 63, 69]
     with pytest.raises(ValueError):
         split.check_tier(["pm25"], "A")
     a, b = split.fingerprint(df).first()[0], split.fingerprint(df.orderBy(F.desc("timestamp"))).first()[0]
     assert a == b != split.fingerprint(df.withColumn("pm25", F.col("pm25") + 1)).first()[0]
+    for other in (df.union(df.limit(1)), df.limit(99), df.withColumn("pm25", F.when(F.hour("timestamp") > 0, F.col("pm25")))):
+        assert split.fingerprint(other).first()[0] != a
+    assert split.fingerprint(df.union(df)).first()[0] != split.fingerprint(df.limit(0)).first()[0]
+    early = F.col("timestamp") < F.lit(dt.datetime(2026, 1, 2))
+    parts = split.fingerprint_state(df.where(early)).union(split.fingerprint_state(df.where(~early)))
+    assert split.fingerprint(df, state=split.merged_state(parts)).first()[0] == a
 
 
 def test_feature_table_has_all_of_tier_c(spark):
@@ -224,10 +231,10 @@ def test_strict_alignment(spark):
     p = k.select(F.lit("a").alias("model"), "station_id", "timestamp", F.col("pm25").alias("prediction"))
     keys = ["station_id", "timestamp"]
     assert m.score_models(k, k.withColumnRenamed("pm25", "actual"), p, keys).first().mae == 0
-    with pytest.raises(ValueError):
-        m.score_models(k, k.withColumnRenamed("pm25", "actual"), p.limit(1), keys)
-    with pytest.raises(ValueError):
-        align.strict_align(p.union(p), k, keys)
+    with pytest.raises(PySparkException, match="missing"):
+        m.score_models(k, k.withColumnRenamed("pm25", "actual"), p.limit(1), keys).collect()
+    with pytest.raises(PySparkException, match="duplicate"):
+        align.strict_align(p.union(p), k, keys).count()
 
 
 def test_prepare(spark):
@@ -243,10 +250,12 @@ def test_graph(spark):
     order = spark.createDataFrame([(10,), (20,), (30,)], "station_id long")
     e = spark.createDataFrame([(10, 20), (20, 10)], "station_id long, neighbor_station_id long")
     assert sorted(map(tuple, graph.edge_symmetrize(e, order).collect())) == [(0, 1), (1, 0)]
-    with pytest.raises(ValueError):
-        graph.edge_symmetrize(spark.createDataFrame([(10, 99)], e.schema), order)
+    with pytest.raises(PySparkException, match="outside the order"):
+        graph.edge_symmetrize(spark.createDataFrame([(10, 99)], e.schema), order).collect()
     s = graph.graph_snapshots(series(spark, [1.0], 10), order, ["pm25"]).first()
     assert [n.features for n in s.nodes] == [[1.0], None, None]
+    tiles = graph.graph_snapshots(series(spark, [1.0], 30), order, ["pm25"], tile=2).orderBy("tile").collect()
+    assert [(r.tile, [(n.pos, n.features) for n in r.nodes]) for r in tiles] == [(0, [(0, None), (1, None)]), (1, [(2, [1.0])])]
 
 
 def test_sources(spark):
@@ -284,3 +293,103 @@ def test_models_and_scoring(spark):
     errors = {r.request_id: r.error for r in scoring.request_errors(req, df, served).collect()}
     assert errors == {2: "unknown station", 3: "model unavailable"}
     assert scoring.score(req, df, {("pm25", 1): F.col("pm25")}, "v").count() == 1
+
+
+def test_blocks_equal_whole_stations(spark):
+    """Windows, fills and places over blocks against windows over whole stations, with gaps, and a station of many blocks."""
+    t = hours(400, "2025-12-30T00:30:00")
+    rows = [(s, x, None if (i * 7 + s) % 5 == 0 or 100 < i < 190 else float((i * 13 + s * 5) % 41)) for s, n in ((1, 400), (2, 30), (3, 1)) for i, x in enumerate(t[:n])]
+    df = spark.createDataFrame(rows, "station_id long, timestamp timestamp_ntz, pm25 double")
+    make = lambda w: g.pollution_features("pm25", w) | g.targets("pm25", w, (1, 2))
+    names = list(make(g.over()))
+    keys = ["station_id", "timestamp"]
+    rows_of = lambda f: sorted(map(repr, f.select(*keys, *names).collect()))
+    blocked = g.with_windows(df, make, block=30, back=24, ahead=2)
+    assert rows_of(blocked) == rows_of(df.withColumns(make(g.over())))
+    tasks = g.in_blocks(df, block=30, back=24, ahead=2).groupBy("station_id", "_block").count()
+    assert tasks.agg(F.max("count")).first()[0] <= 30 + 24 + 2
+    with pytest.raises(ValueError):
+        g.in_blocks(df, block=20)
+    names = ["pm25", "t_idx"]
+    plain = df.withColumns({"t_idx": (F.row_number().over(g.over()) - 1).cast("long"), "pm25": g.ffill("pm25", g.over())})
+    assert rows_of(g.with_place(g.with_ffill(df, ["pm25"], block=24), block=24)) == rows_of(plain)
+
+
+def test_hot_station_is_spread_over_tasks(spark):
+    """One station with nearly all rows: no partition of the windows' exchange holds more than a small part of them."""
+    hot = spark.range(60_000).select(F.lit(1).cast("long").alias("station_id"), (F.lit(dt.datetime(2000, 1, 1)).cast("timestamp_ntz") + F.make_dt_interval(F.lit(0), F.col("id").cast("int"))).alias("timestamp"), (F.col("id") % 97).cast("double").alias("pm25"))
+    out = g.with_windows(hot, lambda w: g.lag_features("pm25", w, (24,)), back=24, ahead=0)
+    sizes = [r[0] for r in g.in_blocks(hot).repartition(16, "station_id", "_block").groupBy(F.spark_partition_id()).count().select("count").collect()]
+    assert len(sizes) >= 12 and max(sizes) < 0.2 * 60_000
+    assert out.where("pm25_lag_24h is null").count() == 24 and out.count() == 60_000
+
+
+def test_dense_place_meets_few_others(spark):
+    """20,000 points in a square of 1 km, 1,000 of them at one place, and some far away."""
+    n, k = 20_000, 5
+    golden = lambda m: (F.col("id") * F.lit(m)) % 1
+    dense = spark.range(n).select(F.col("id").alias("station_id"), (50 + golden(0.7548776662466927) * 0.009).alias("latitude"), (9 + golden(0.5698402909980532) * 0.014).alias("longitude"))
+    dense = dense.withColumns({c: F.when(F.col("station_id") < 1000, v).otherwise(F.col(c)) for c, v in (("latitude", 50.001), ("longitude", 9.001))})
+    far = spark.createDataFrame([(n + 1, 51.0, 9.0), (n + 2, 51.3, 9.0), (n + 3, -10.0, 0.0)], dense.schema)
+    points = dense.union(far).cache()
+    pairs = align.knn_candidates(points, "station_id", k, 100.0).groupBy("id0").count()
+    assert pairs.where(F.col("id0") < n).agg(F.avg("count")).first()[0] < 1500
+    got = align.knn_join(points, "station_id", k, 100.0).cache()
+    assert got.where(F.col("station_id") < n).count() == k * n
+    for i in (0, 999, 1000, 7777, n + 1, n + 2, n + 3):
+        one = points.where(F.col("station_id") == i).select(F.col("latitude").alias("y"), F.col("longitude").alias("x"))
+        want = points.where(F.col("station_id") != i).crossJoin(F.broadcast(one)).select("station_id", scalars.haversine("y", "x", "latitude", "longitude").alias("d")).where("d <= 100").orderBy("d", "station_id").limit(k)
+        mine = got.where(F.col("station_id") == i).orderBy("rank")
+        assert [r.neighbor_station_id for r in mine.collect()] == [r.station_id for r in want.collect()], i
+
+
+def test_one_day_rewritten(spark, tmp_path):
+    t = hours(60)
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(t)], "id long, ts timestamp_ntz").withColumn("day", F.to_date("ts"))
+    path = str(tmp_path / "days")
+    formats.write_by_day(df, path, "day")
+    before = {p: p.stat().st_mtime_ns for p in sorted((tmp_path / "days").glob("day=*/*.parquet"))}
+    formats.write_by_day(df.where("day = '2026-01-02'").withColumn("id", -F.col("id")), path, "day")
+    after = {p: p.stat().st_mtime_ns for p in sorted((tmp_path / "days").glob("day=*/*.parquet"))}
+    assert {p for p in before if "01-02" not in str(p)} == {p for p in after if before.get(p) == after[p]}
+    read = spark.read.parquet(path)
+    assert read.count() == 60 and {r.id < 0 for r in read.where("day = '2026-01-02'").collect()} == {True}
+    pruned = read.where("day = '2026-01-01'")
+    assert "PartitionFilters: [isnotnull(day" in pruned._jdf.queryExecution().executedPlan().toString() and pruned.count() == 24
+
+
+def test_failing_values_are_shown(spark):
+    df = spark.createDataFrame([(1, 5.0), (1, -2.0), (2, -7.25), (3, None)], "k long, v double")
+    found = {(r.column_name, r.check_name): (r.failures, r.lowest, r.highest) for r in validate.validate(df, validate.Rules({"v": ("double", False, True)}, (validate.ge("v", 0), validate.le("v", 9)), ("k",))).collect()}
+    assert found["v", "ge(0)"] == (2, "-7.25", "-2.0") and found["v", "le(9)"] == (0, None, None)
+    assert found["v", "not_null"] == (1, None, None) and found["k", "unique"] == (1, '{"k":1}', '{"k":1}')
+    with pytest.raises(ValueError, match="-7.25"):
+        validate.validate_or_raise(df, validate.Rules({}, (validate.ge("v", 0),)), "x")
+
+
+def test_configuration(spark):
+    from panelry.operators.config import FeatureConfig
+
+    c = FeatureConfig()
+    assert (c.back, c.ahead) == (24, 2)
+    with pytest.raises(ValueError):
+        FeatureConfig(lags=(0,))
+    with pytest.raises(ValueError):
+        FeatureConfig(block=12)
+    panel = series(spark, [float(i) for i in range(60)])
+    meta = spark.createDataFrame([(1, 50.0, 9.0)], "station_id long, latitude double, longitude double")
+    f = build_feature_table(panel, meta, FeatureConfig(lags=(5,), windows=(2,), trend=3, horizons={"pm25": (4,)}, block=24))
+    assert {"pm25_lag_5h", "pm25_rollmean_2h", "pm25_trend_3h", "target_pm25_h4"} <= set(f.columns) and "pm25_lag_1h" not in f.columns
+    assert column(f, "pm25_lag_5h")[:7] == [None] * 5 + [0, 1] and column(f, "target_pm25_h4")[-5:] == [59, None, None, None, None]
+
+
+def test_feature_table_exchanges_its_rows_twice(spark):
+    """Once by hour for the neighbours, once by station and block for all windows; the rest joins small sides."""
+    meta = spark.createDataFrame([(i, 52.5 + i / 100, 13.4) for i in range(4)], "station_id long, latitude double, longitude double")
+    panel = series(spark, [1.0, 2.0, 3.0], 1).union(series(spark, [4.0, 5.0], 2))
+    from panelry.operators.store import stored
+
+    plan = build_feature_table(stored(panel), stored(meta))._jdf.queryExecution().executedPlan().toString()
+    exchanges = [x for x in plan.splitlines() if "Exchange hashpartitioning" in x and "timestamp" in x or "_block" in x and "Exchange hashpartitioning" in x]
+    assert len([x for x in exchanges if "_block" in x]) == 1
+    assert len([x for x in exchanges if "REPARTITION_BY_COL" in x]) == 1
