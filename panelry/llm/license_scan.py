@@ -1,9 +1,9 @@
 """License scans by diagonal voting, with DataFrame functions alone.
 
 Templates are word sequences: short names that must stand as they are, and notices that may be cut or altered. All rolling
-k-word grams of all texts meet the templates' grams in a join on their hash; a gram at word w that stands at position t of
-a template votes for the diagonal w - t, the place at which the template would begin. A name is found where all of its
-grams vote for one diagonal. A notice's neighbouring diagonals (words added or left out shift the rest) are merged, and the
+word grams of all texts meet the templates' grams in a join on the hash of their first two words; a gram at word w that
+stands at position t of a template votes for the diagonal w - t, the place at which the template would begin. A name is
+found where all of its grams vote for one diagonal. A notice's neighbouring diagonals (words added or left out shift the rest) are merged, and the
 span is verified: its grams, compared word by word, have to cover enough of the template within a span not much longer.
 
 Texts are read in place, twice, and never shuffled; what is shuffled are the grams that templates have too. The templates'
@@ -21,14 +21,13 @@ from .common import stored
 #: Words are runs of ASCII letters, digits, and everything beyond ASCII.
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 CASED_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Words of a gram, in names and in notices.
 NAME_GRAM, NOTICE_GRAM = 2, 4
 #: A notice is found where so much of its words is covered, by a span of at most so many times its words; diagonals merge
 #: that lie at most so many words apart.
 COVER, STRETCH, NEAR = 0.5, 1.5, 8
-#: Grams of all templates that are broadcast at most.
+#: Words of all templates, whose grams are broadcast, at most.
 MOST_GRAMS = 100_000
 
 #: Names of licenses and their labels; the first three are the contract's.
@@ -62,14 +61,10 @@ NOTICES = [
 ]
 
 
-def lower(words: Column | str) -> Column:
-    """A to Z in lower case, nothing else."""
-    return F.translate(words, UPPER, LOWER)
-
-
-def _hash(words: list[Column]) -> Column:
-    """Of words in lower case. Beyond ASCII lower() also joins words that differ; the comparison of words parts them."""
-    return F.xxhash64(*[F.lower(w) for w in words])
+def folded(text: Column | str) -> Column:
+    """The text in lower case, once for all its words. Template words are ASCII, and the one letter beyond ASCII whose
+    lower case is not, the Kelvin sign, is put out of the way first, so that no other word becomes one of theirs."""
+    return F.lower(F.replace(F.coalesce(text, F.lit("")), F.lit("\u212a"), F.lit("\u0138")))
 
 
 def templates(spark: SparkSession, names: list[tuple[str, str]] = NAMES, notices: list[tuple[str, str]] = NOTICES) -> DataFrame:
@@ -80,14 +75,15 @@ def templates(spark: SparkSession, names: list[tuple[str, str]] = NAMES, notices
     rows += [(len(names) + i, label, text, NOTICE_GRAM) for i, (label, text) in enumerate(notices)]
     each = F.array(*[F.struct(F.lit(i).alias("template"), F.lit(label).alias("label"), F.lit(text).alias("text"), F.lit(k).alias("gram")) for i, label, text, k in rows])
     table = spark.range(1).select(F.inline(each))
-    return table.select("template", "label", F.regexp_extract_all(lower("text"), F.lit(WORD), F.lit(0)).alias("words"), "gram")
+    return table.select("template", "label", F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)).alias("words"), "gram")
 
 
-def grams(table: DataFrame, k: int) -> DataFrame:
-    """(hash, at): the places of each k-word gram in the templates that use grams of k words."""
-    at = table.where(F.col("gram") == k).select("template", F.size("words").alias("n"), "words", F.explode(F.sequence(F.lit(0), F.size("words") - k)).alias("t"))
-    words = [F.element_at("words", F.col("t") + 1 + j) for j in range(k)]
-    rows = at.select(_hash(words).alias("hash"), F.struct("template", "n", "t", F.array(*words).alias("said")).alias("place"))
+def grams(table: DataFrame) -> DataFrame:
+    """(hash, at): the grams of all templates by the hash of their first two words, with their template and place."""
+    at = table.select("template", F.size("words").alias("n"), "words", "gram", F.explode(F.sequence(F.lit(0), F.size("words") - F.col("gram"))).alias("t"))
+    said = F.slice("words", F.col("t") + 1, F.col("gram"))
+    rows = at.select("template", "n", "t", said.alias("said"))
+    rows = rows.select(F.xxhash64(F.get("said", F.lit(0)), F.get("said", F.lit(1))).alias("hash"), F.struct("template", "n", "t", "said").alias("place"))
     return rows.groupBy("hash").agg(F.collect_list("place").alias("at"))
 
 
@@ -98,21 +94,14 @@ def document_key(text: str = "text") -> Column:
 
 def votes(docs: DataFrame, table: DataFrame) -> DataFrame:
     """(doc, key, template, n, t, w): word w of a document begins the gram that stands at word t of a template."""
-    k2, k4 = NAME_GRAM, NOTICE_GRAM
-    few, many = grams(table, k2), grams(table, k4)
-    if few.count() + many.count() > MOST_GRAMS:
-        raise ValueError(f"templates have more than {MOST_GRAMS} grams")
-    rows = docs.select(F.col("doc_id").alias("doc"), document_key().alias("key"), F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(CASED_WORD), F.lit(0)).alias("words"))
-    # One pass: every word's place with the words that follow it, in the task that read the text.
+    known = grams(table)
+    if table.agg(F.sum(F.size("words"))).first()[0] > MOST_GRAMS:
+        raise ValueError(f"templates have more than {MOST_GRAMS} words")
+    rows = docs.select(F.col("doc_id").alias("doc"), document_key().alias("key"), F.regexp_extract_all(folded("text"), F.lit(WORD), F.lit(0)).alias("words"))
+    # One pass: every word's place with the word that follows it, in the task that read the text.
     at = rows.select("doc", "key", "words", F.posexplode("words").alias("w", "word"))
-    word = lambda j: F.get("words", F.col("w") + j)
-    at = at.withColumn("h2", _hash([F.col("word"), word(1)])).withColumn("h4", _hash([F.col("word"), *[word(j) for j in range(1, k4)]]))
-    short = F.broadcast(few.select(F.col("hash").alias("h2"), F.col("at").alias("names")))
-    long_ = F.broadcast(many.select(F.col("hash").alias("h4"), F.col("at").alias("notices")))
-    hit = at.join(short, "h2", "left").join(long_, "h4", "left").where("names is not null or notices is not null")
-    none = F.array().cast("array<struct<template: int, n: int, t: int, said: array<string>>>")
-    places = F.concat(F.coalesce("names", none), F.coalesce("notices", none))
-    hit = hit.select("doc", "key", "w", F.transform(F.slice("words", F.col("w") + 1, k4), lower).alias("ahead"), F.explode(places).alias("p"))
+    at = at.withColumn("hash", F.xxhash64("word", F.get("words", F.col("w") + 1)))
+    hit = at.join(F.broadcast(known), "hash").select("doc", "key", "w", F.slice("words", F.col("w") + 1, NOTICE_GRAM).alias("ahead"), F.explode("at").alias("p"))
     hit = hit.where(F.slice("ahead", 1, F.size("p.said")) == F.col("p.said"))
     return hit.select("doc", "key", F.col("p.template").alias("template"), F.col("p.n").alias("n"), F.col("p.t").alias("t"), "w")
 
