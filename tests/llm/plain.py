@@ -1,6 +1,8 @@
 """Plain versions of operators, written from their contracts, for small inputs."""
 
 import hashlib
+import math
+import re
 import zlib
 from collections import Counter, defaultdict
 from fractions import Fraction
@@ -76,3 +78,38 @@ def plain_rebuilt(rows):
         h = crc(c) % 6
         out[c] = own.get(c - c % 100, [])[:h] + turns[h:]
     return out
+
+
+def plain_licenses(text, names, notices, base):
+    """The contract's columns for one text, with notices found by votes, merged diagonals and cover."""
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    starts, labels, base_labels, score = [], set(), set(), 0.0
+    for i, (name, label) in enumerate(names):
+        want = name.split()
+        at = [w for w in range(len(words) - len(want) + 1) if words[w : w + len(want)] == want]
+        if at:
+            labels.add(label)
+            score = 1.0
+        if at and i < base:
+            starts += at
+            base_labels.add(label)
+    for label, notice in notices:
+        want = re.findall(r"[a-z0-9]+", notice.lower())
+        votes = defaultdict(set)
+        for w in range(len(words) - 3):
+            for t in range(len(want) - 3):
+                if words[w : w + 4] == want[t : t + 4]:
+                    votes[w - t].add(t)
+        islands = []
+        for d in sorted(votes):
+            if not islands or d - islands[-1][-1] > 8:
+                islands.append([])
+            islands[-1].append(d)
+        for island in islands:
+            said = {t + j for d in island for t in votes[d] for j in range(4)}
+            first, last = min(d + min(votes[d]) for d in island), max(d + max(votes[d]) + 4 for d in island)
+            if len(said) / len(want) >= 0.5 and last - first <= math.ceil(1.5 * len(want)):
+                labels.add(label)
+                score = max(score, len(said) / len(want))
+    ends = (min(starts), max(starts)) if starts else (None, None)
+    return (len(words), len(starts), *ends, ",".join(sorted(base_labels)), ",".join(sorted(labels)), score)
