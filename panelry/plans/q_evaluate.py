@@ -271,14 +271,16 @@ def model_boosted(spark, sf):
 
 def _everything(spark, sf):
     """The feature table with every column that a tier names; what the tables do not measure is null."""
-    return build_feature_table(_wide_panel(spark, sf), t.meta(spark, sf))
+    meta = t.stored(t.meta(spark, sf))
+    return build_feature_table(_wide_panel(spark, sf, meta), meta)
 
 
-def _wide_panel(spark, sf):
-    keys = ["station_id", "timestamp"]
+def _wide_panel(spark, sf, meta):
+    """The panel with weather and outlier flags, stored: the boundary between cleaning and features."""
+    p = t.stored(t.panel(spark, sf))
     wide = align.weather_panel(t.weather(spark, sf), t.mapping(spark, sf), t.METRICS)
-    panel = align.build_panel(t.panel(spark, sf), [wide], t.meta(spark, sf), keys).withColumns({c: F.lit(None).cast("double") for c in ("humidity_pct", "wind_speed_ms")})
-    return clean.flag_outliers_iqr(panel, "pm25", "pm25_is_outlier")
+    panel = align.build_panel(p, [wide], meta, ["station_id", "timestamp"]).withColumns({c: F.lit(None).cast("double") for c in ("humidity_pct", "wind_speed_ms")})
+    return t.stored(clean.flag_outliers_iqr(panel, "pm25", "pm25_is_outlier", fit_on=p))
 
 
 _MADE = ["{}"] + [f"{{}}_lag_{h}h" for h in (1, 2, 3, 6, 12, 24)] + [f"{{}}_roll{f}_{n}h" for f in ("mean", "std", "max", "min") for n in (3, 6, 24)] + ["{}_roc_1h", "{}_trend_6h"]
@@ -363,9 +365,9 @@ def most_missing_features(spark, sf):
 @query("feature_report", f"""WITH {_SHARES} SELECT (SELECT count(*) FROM grid)::BIGINT AS n_rows, (SELECT count(*) FROM meta)::BIGINT AS stations, {len(_EVERY_NAME)}::BIGINT AS n_features, (SELECT count(*) FROM edges)::BIGINT AS edges,
  (SELECT count(*) FROM meta WHERE station_id NOT IN (SELECT station_id FROM edges))::BIGINT AS isolated, target_pm25_h1 AS target_pm25_h1_missing_pct, target_pm25_h2 AS target_pm25_h2_missing_pct, target_no2_h1 AS target_no2_h1_missing_pct FROM shares""")
 def feature_report(spark, sf):
-    meta = t.meta(spark, sf)
+    meta = t.stored(t.meta(spark, sf))
     edges = t.stored(align.knn_join(meta, "station_id", 5, 100.0))
-    f = build_feature_table(_wide_panel(spark, sf), meta, edges=edges)
+    f = build_feature_table(_wide_panel(spark, sf, meta), meta, edges=edges)
     return validate.feature_report(f, edges, meta, split.feature_columns(f), "station_id")
 
 

@@ -175,7 +175,7 @@ def attach_neighbors(spark, sf):
 @query("build_feature_table", f"""WITH {_NEAR} SELECT g.station_id, g.timestamp, round(pm25, 9) AS pm25, {_lags("pm25")}, {_rolls("no2")}, {_TARGETS}, round(m, 9) AS neighbor_pm25_mean,
  hour(g.timestamp)::INT AS hour, (isodow(g.timestamp) - 1)::INT AS day_of_week FROM grid g LEFT JOIN n USING (station_id, timestamp) WINDOW w AS (PARTITION BY g.station_id ORDER BY g.timestamp)""")
 def build_feature_table(spark, sf):
-    f = feature_table.build_feature_table(t.panel(spark, sf), t.meta(spark, sf))
+    f = feature_table.build_feature_table(t.stored(t.panel(spark, sf)), t.stored(t.meta(spark, sf)))
     cols = ["pm25", *g.lag_features("pm25", g.over()), *g.rolling_features("no2", g.over()), "target_pm25_h1", "target_pm25_h2", "neighbor_pm25_mean", "hour", "day_of_week"]
     return rounded(f.select("station_id", "timestamp", *cols))
 
@@ -287,7 +287,7 @@ def flagship(spark, sf):
     from panelry.operators.models import persistence
     from panelry.operators.split import chronological_split
 
-    f = feature_table.build_feature_table(t.panel(spark, sf), t.meta(spark, sf))
+    f = feature_table.build_feature_table(t.stored(t.panel(spark, sf)), t.stored(t.meta(spark, sf)))
     rows = persistence(chronological_split(f), "pm25").na.drop(subset=["target_pm25_h1", "pm25"])
     return rounded(regression_metrics(rows, "target_pm25_h1", "prediction", ["split"]))
 
