@@ -8,6 +8,8 @@ climbs the likelihood of labelled pages with the same passes. Blocks whose margi
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
@@ -29,8 +31,12 @@ IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript
 MAY_STAY_OPEN = frozenset("head option script style".split())
 #: Opening one of these ends the open ones named beside it, up to the nearest of the last column.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
+#: An open paragraph outside of these is not ended by a block inside them.
+AROUND = ("td", "th", "li", "blockquote", "div", "article", "section")
 EDGE_KINDS = {"p": 1, "h1": 2, "h2": 2, "h3": 2, "h4": 2, "li": 3, "ul": 3, "ol": 3, "div": 4, "section": 4, "article": 5, "main": 5}
 N_EDGES, EPOCHS, RATE, RIDGE = 6, 160, 0.4, 2e-3
+#: What a sentence ends with.
+END = tuple(".!?…")
 #: Pages whose nodes are worked on at once.
 TOGETHER = 256
 
@@ -57,6 +63,8 @@ class _Builder(HTMLParser):
         self.hidden: list[tuple[str, tuple[int, int]]] = []
         self.shown = shown
         self.links = 0
+        self.places: dict[str, list[int]] = defaultdict(list)
+        self.hiding: Counter[str] = Counter()
         self._node("", ())
 
     def _node(self, tag: str, names: tuple[str, ...], label: int | None = None) -> None:
@@ -68,6 +76,7 @@ class _Builder(HTMLParser):
         t.label.append(label if label is not None else (t.label[up] if up >= 0 else 0))
         t.chars.append(0)
         t.linked.append(0)
+        self.places[tag].append(len(self.open))
         self.open.append((tag, len(t.tag) - 1))
 
     def flush(self) -> None:
@@ -79,24 +88,35 @@ class _Builder(HTMLParser):
 
     def _close(self, upto: int) -> None:
         self.flush()
+        for tag, _ in reversed(self.open[upto:]):
+            self.places[tag].pop()
         del self.open[upto:]
 
+    def _last(self, tags) -> int:
+        """Where in the open elements the innermost of these tags stands; -1 for none."""
+        return max((at[-1] for x in tags if (at := self.places.get(x))), default=-1)
+
+    def _reveal(self, upto: int) -> None:
+        """Hidden elements from this one on end."""
+        for tag, _ in self.hidden[upto:]:
+            self.hiding[tag] -= 1
+        del self.hidden[upto:]
+
     def _imply_end(self, tag: str) -> None:
         """End tags that a start tag implies: of an open option, and of an open head."""
         if self.hidden[-1][0] == "option" and (tag in BLOCKS or tag in ("option", "optgroup", "select")):
-            self.hidden.pop()
+            self._reveal(len(self.hidden) - 1)
         elif self.hidden[-1][0] == "head" and tag not in IN_HEAD:
-            self.hidden.pop()
-        elif tag == "body":
-            names = [x for x, _ in self.hidden]
-            if "head" in names and "template" not in names:
-                del self.hidden[names.index("head") :]
+            self._reveal(len(self.hidden) - 1)
+        elif tag == "body" and self.hiding["head"] and not self.hiding["template"]:
+            self._reveal([x for x, _ in self.hidden].index("head"))
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if self.hidden:
             self._imply_end(tag)
         if tag in HIDDEN and self.getpos() not in self.shown:
             self.hidden.append((tag, self.getpos()))
+            self.hiding[tag] += 1
         if self.hidden:
             return
         if tag == "a":
@@ -105,22 +125,15 @@ class _Builder(HTMLParser):
             self.text.append(" ")
         if tag not in BLOCKS:
             return
-        for i in range(len(self.open) - 1, 0, -1):
-            if self.open[i][0] == "p":
-                self._close(i)
-                break
-            if self.open[i][0] in ("td", "th", "li", "blockquote", "div", "article", "section"):
-                break
+        paragraph = self._last(("p",))
+        if paragraph > self._last(AROUND):
+            self._close(paragraph)
         if tag in CLOSES:
             ends, scope = CLOSES[tag]
-            cut = None
-            for i in range(len(self.open) - 1, 0, -1):
-                if self.open[i][0] in scope:
-                    break
-                if self.open[i][0] in ends:
-                    cut = i
-            if cut:
-                self._close(cut)
+            inside = self._last(scope)
+            first = [at[i] for x in ends if (at := self.places.get(x)) and (i := bisect_right(at, inside)) < len(at)]
+            if first:
+                self._close(min(first))
         self.flush()
         if tag == "hr":
             return
@@ -136,24 +149,22 @@ class _Builder(HTMLParser):
 
     def handle_endtag(self, tag: str) -> None:
         if self.hidden and self.hidden[-1][0] == "option" and tag in BLOCKS:
-            self.hidden.pop()
+            self._reveal(len(self.hidden) - 1)
         if self.hidden:
-            for i in range(len(self.hidden) - 1, -1, -1):
-                if self.hidden[i][0] == tag:
-                    del self.hidden[i:]
-                    break
+            if self.hiding[tag]:
+                at = len(self.hidden) - 1
+                while self.hidden[at][0] != tag:
+                    at -= 1
+                self._reveal(at)
             return
         if tag == "a":
             self.links = 0
-        if tag in BLOCKS:
-            for i in range(len(self.open) - 1, 0, -1):
-                if self.open[i][0] == tag:
-                    self._close(i)
-                    break
+        if tag in BLOCKS and self._last((tag,)) > 0:
+            self._close(self._last((tag,)))
 
     def handle_data(self, data: str) -> None:
         if self.hidden and self.hidden[-1][0] == "head" and data.strip():
-            self.hidden.pop()
+            self._reveal(len(self.hidden) - 1)
         if self.hidden:
             return
         self.text.append(data)
@@ -175,14 +186,27 @@ def parse(html: str) -> Tree:
             break
         shown |= left
     builder.flush()
-    return builder.tree
+    tree = builder.tree
+    if "body" not in tree.tag:  # its tags may be left out
+        tree.tag[0] = "body"
+    return tree
 
 
 def node_features(t: Tree) -> list[list[str]]:
-    """What each node shows of itself: tag, names, text length, share of links, sentence marks, its parent."""
-    own: list[str] = [""] * len(t.tag)
+    """What each node shows of itself: tag, names, text length, share of links, sentence marks, paragraphs, its parent."""
+    parts: list[list[str]] = [[] for _ in t.tag]
     for i, said in t.units:
-        own[i] += said + " "
+        parts[i].append(said + " ")
+    own = ["".join(x) for x in parts]
+    holds = [0] * len(t.tag)
+    for i, tag in enumerate(t.tag):
+        if tag == "p" and t.parent[i] >= 0 and own[i].rstrip()[-1:] in END and own[i].count(" ") > 3:
+            holds[t.parent[i]] += 1
+    said_below = [tag in ("p", "h1", "h2") or own[i].count(" ") > 8 and own[i].rstrip()[-1:] in END for i, tag in enumerate(t.tag)]
+    below = [0] * len(t.tag)
+    for i in range(len(t.tag) - 1, 0, -1):
+        if t.parent[i] >= 0:
+            below[t.parent[i]] += below[i] + said_below[i]
     out = []
     for i, tag in enumerate(t.tag):
         n = own[i].count(" ")
@@ -191,7 +215,14 @@ def node_features(t: Tree) -> list[list[str]]:
         up = t.tag[t.parent[i]] if t.parent[i] >= 0 else ""
         f = ["1", f"tag {tag}", f"size {size}", f"link {share} {size}", f"up {up} {tag}"]
         if size:
-            f.append(f"ends {own[i].rstrip()[-1:] in '.!?…'}")
+            ends = own[i].rstrip()[-1:] in END
+            f += [f"ends {ends}", f"link {share} ends {ends}"]
+            f.append(f"in {up} {tag} {size}")
+        if tag in ("table", "tbody", "tr"):
+            f.append(f"below {min(below[i], 2)} {tag}")
+        if holds[i]:
+            f.append(f"holds {min(holds[i], 3)}")
+            f.append(f"holds {min(holds[i], 3)} {tag}")
         if "©" in own[i]:
             f.append("copy")
         out.append(f + [f"name {x}" for x in t.names[i]])

@@ -81,6 +81,8 @@ def _page(r: random.Random) -> str:
             inner = f"{r.choice(['<b>', '<em>'])}{inner}"
         if r.random() < 0.25:
             inner += f" {link()} {sentence()}"
+        if r.random() < 0.12:
+            inner = f'<a href="/x">{r.choice([sentence, prose])()}</a>'
         return f"<p>{inner}" + r.choice(["</p>", "</p>", "</p>", "<br>", ""])
 
     def inside() -> str:
@@ -108,21 +110,54 @@ def _page(r: random.Random) -> str:
             parts.insert(r.randint(0, len(parts)), extra())
         return "".join(parts)
 
-    tag, name = r.choice(MAIN)
-    body = inside()
-    if r.random() < 0.2:
-        body = named("div", r.choice(["", "body", "article-body", "inner"]), body)
-    main = named(tag, name, body, 1)
+    def broken() -> str:
+        """Text parted by line breaks, straight in what holds it."""
+        heading = r.choice(["", f"<h1>{r.choice([words(1, 10), sentence()])}</h1>", f"<b>{words(2, 8)}</b><br>"])
+        return heading + r.choice(["<br><br>", "<br>", "<br /><br />\n"]).join(r.choice([sentence, prose])() for _ in range(r.randint(1, 9)))
+
+    def menu() -> str:
+        return r.choice([lambda: words(1, 5), lambda: items(r.randint(2, 6)), lambda: "<br>".join(link() for _ in range(r.randint(2, 7))), lambda: " | ".join(link() for _ in range(r.randint(2, 6)))])()
+
+    def table() -> str:
+        """A page laid out by a table: a menu cell beside the article, maybe rows above and below."""
+        rows = [f'<td data-y="0">{menu()}</td><td data-y="1">{r.choice([inside, inside, broken])()}</td>']
+        if r.random() < 0.3:
+            rows[0] += f'<td data-y="0">{r.choice([menu, ad, side])()}</td>'
+        if r.random() < 0.5:
+            rows.insert(0, f'<td colspan="2" data-y="0">{r.choice([words(1, 4), menu()])}</td>')
+        if r.random() < 0.5:
+            rows.append(f'<td colspan="2" data-y="0">{r.choice([f"&copy; {words(1, 4)}", menu(), sentence()])}</td>')
+        return '<table data-y="0">' + "".join(f"<tr>{x}</tr>" for x in rows) + "</table>"
+
+    layout = r.random()
     before = [f() for f in r.sample([nav, head, ad, notice, form, side, nav], r.randint(0, 4))]
     after = [f() for f in r.sample([side, ad, comments, form, social, notice, foot], r.randint(0, 4))]
     if r.random() < 0.6:
         after.append(foot())
+    mark = ""
+    if layout < 0.6:  # the article has an element of its own
+        tag, name = r.choice(MAIN)
+        body = inside() if r.random() < 0.95 else broken()
+        if r.random() < 0.2:
+            body = named("div", r.choice(["", "body", "article-body", "inner"]), body)
+        main = named(tag, name, body, 1)
+    elif layout < 0.85:  # it stands in the body, or in a wrapper, beside everything else
+        mark, main = ' data-y="1"', r.choice([inside, inside, broken])()
+        if r.random() < 0.4:
+            before = []
+        if r.random() < 0.4:
+            after = []
+    else:
+        main = table()
     whole = "".join([*before, main, *after])
     if r.random() < 0.4:
-        whole = named("div", r.choice(["", "wrapper", "container", "page", "layout"]), whole)
-    return f'<!DOCTYPE html><html lang="en"><head><title>{words(2, 9)}</title><style>p{{margin:0}}</style></head><body>{whole}' + r.choice(["</body></html>", ""])
+        tag = r.choice(["div", "div", "div", "center"])
+        name = r.choice(["", "wrapper", "container", "page", "layout"]) if tag == "div" else ""
+        whole = named(tag, name, whole, 1 if mark else None)
+        mark = ""
+    return f'<!DOCTYPE html><html lang="en"><head><title>{words(2, 9)}</title><style>p{{margin:0}}</style></head><body{mark}>{whole}' + r.choice(["</body></html>", ""])
 
 
-def labelled_pages(n: int = 900, seed: int = 11) -> list[str]:
+def labelled_pages(n: int = 1200, seed: int = 11) -> list[str]:
     r = random.Random(seed)
     return [_page(r) for _ in range(n)]

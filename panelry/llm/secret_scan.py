@@ -35,13 +35,14 @@ class Rule:
     base: bool = False
 
 
-#: The three base rules and what the scan adds to them.
+#: The three base rules and what the scan adds to them. No rule looks at a stretch of text more often than a
+#: bounded number of times: a token starts where no token character stands before it, and is not given back in parts.
 RULES = (
     Rule("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 8, 2, True),
     Rule("access", r"AKIA[A-Z0-9]+", 16, 0, True),
     Rule("hex", r"[0-9a-f]{32,}", 32, 0, True),
     Rule("pem", r"-----BEGIN (?:[A-Z]+ )*PRIVATE KEY-----[A-Za-z0-9+/=\s]+-----END (?:[A-Z]+ )*PRIVATE KEY-----"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    Rule("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+"),
 )
 
 
