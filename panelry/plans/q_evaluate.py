@@ -252,21 +252,34 @@ def model_linear(spark, sf):
     return rounded(fitted.transform(ready).select("station_id", "timestamp", "prediction"), 4)
 
 
+#: Trees and depth of forests, rounds and depth of boosting: the sizes of the registered queries; tests set smaller ones.
+FOREST, BOOSTED = (150, 14), (300, 6)
+_CURRENT = {"target_pm25_h1": "pm25", "target_pm25_h2": "pm25", "target_no2_h1": "no2"}
+
+
+def _matrix(spark, sf):
+    """The stored matrix of tier C with split and targets, and its columns."""
+    f = split.chronological_split(_everything(spark, sf))
+    return t.stored(split.feature_matrix(f, split.tiers()["C"], ["station_id", "timestamp", "split", *_CURRENT])), split.matrix_columns(split.tiers()["C"])
+
+
 @query("baseline_experiment")
 def baseline_experiment(spark, sf):
-    f = _features(spark, sf)
-    made = {"linear": models.linear(), "forest": models.forest(8, 5), "boosted": models.boosted(5, 3)}
-    return models.experiment(f, ["pm25", "no2", "before"], "y", "pm25", made)
+    rows, columns = _matrix(spark, sf)
+    made = {"linear": models.linear(), "forest": models.forest(*FOREST), "boosted": models.boosted(*BOOSTED)}
+    return models.experiment(rows, columns, list(_CURRENT), _CURRENT, made)
 
 
 @query("model_forest")
 def model_forest(spark, sf):
-    return models.experiment(_features(spark, sf), ["pm25", "no2", "before"], "y", "pm25", {"forest": models.forest(20, 6)})
+    rows, columns = _matrix(spark, sf)
+    return models.experiment(rows, columns, ["target_pm25_h1"], _CURRENT, {"forest": models.forest(*FOREST)})
 
 
 @query("model_boosted")
 def model_boosted(spark, sf):
-    return models.experiment(_features(spark, sf), ["pm25", "no2", "before"], "y", "pm25", {"boosted": models.boosted(10, 3)})
+    rows, columns = _matrix(spark, sf)
+    return models.experiment(rows, columns, ["target_pm25_h1"], _CURRENT, {"boosted": models.boosted(*BOOSTED)})
 
 
 def _everything(spark, sf):
@@ -374,15 +387,13 @@ def feature_report(spark, sf):
 @query("ablation_experiment")
 def ablation_experiment(spark, sf):
     """The tiers with all their columns, and a fourth: weather and what two hops of messages bring of every node feature."""
-    f = split.chronological_split(_everything(spark, sf))
-    ready = t.stored(split.feature_matrix(f, split.tiers()["C"], ["station_id", "timestamp", "split", "target_pm25_h1", "target_pm25_h2"]))
+    ready, _ = _matrix(spark, sf)
     columns = {tier: split.matrix_columns(names) for tier, names in split.tiers().items()}
     nodes = split.graph_feature_columns(columns["C"])
     edges = t.stored(align.knn_join(t.meta(spark, sf), "station_id", 5, 100.0))
-    told = graph.message_mean(ready, edges, nodes)
-    rows = t.stored(ready.join(told, ["station_id", "timestamp"]))
+    rows = t.stored(ready.join(graph.message_mean(ready, edges, nodes), ["station_id", "timestamp"]))
     columns["D"] = columns["B"] + [f"message_{c}" for c in nodes]
-    out = [models.ablation(rows, columns, y, "pm25", models.linear).withColumn("target", F.lit(y)) for y in ("target_pm25_h1", "target_pm25_h2")]
+    out = [models.ablation(rows, columns, y, "pm25", models.linear) for y in ("target_pm25_h1", "target_pm25_h2")]
     return out[0].union(out[1])
 
 

@@ -286,7 +286,7 @@ def test_files_round_trip(spark, tmp_path):
 
 def test_models_and_scoring(spark):
     df = split.chronological_split(series(spark, [float(i % 7) for i in range(60)])).withColumns({"y": F.lead("pm25", 1).over(g.over())})
-    out = models.experiment(df, ["pm25"], "y", "pm25", {"linear": models.linear(), "forest": models.forest(3, 3), "boosted": models.boosted(2, 2)})
+    out = models.experiment(df, ["pm25"], ["y"], {"y": "pm25"}, {"linear": models.linear(), "forest": models.forest(3, 3), "boosted": models.boosted(2, 2)})
     assert out.count() == 12
     req = spark.createDataFrame([(1, 1, None, None, None), (2, 5, None, None, None), (3, 1, "no2", 2, None)], "request_id long, station_id long, pollutant string, horizon int, as_of timestamp_ntz")
     served = spark.createDataFrame([("pm25", 1)], "pollutant string, horizon int")
