@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, give_back, lists, mix, over_texts, small, steps, stored, text_bytes
+from .common import Words, discard, give_back, lists, mix, over_texts, small, steps, stored, text_bytes
 
 WINDOW, PHRASE = 50, 8
 #: Text bytes that one group of documents should hold, window records of one reduce task, ids worth a broadcast.
@@ -124,7 +124,9 @@ def confirmed(marked: DataFrame, parts: int) -> DataFrame:
     """(phrase, words, windows): phrases of confirmed windows with their text and, packed, window hashes and first docs.
 
     marked: (doc_id, text, phrases array<struct<phrase, own>>), own where doc_id is the first that names the phrase.
-    Each step combines its records, so that a window common to many documents sends two records a step at most.
+    Each step combines its records, so that a window common to many documents sends two records a step at most. Records are
+    dealt by phrase and window, so that a phrase that very many windows name is spread over all groups, and has a row for
+    each group that confirmed a window of it; its words are joined to these afterwards.
     """
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,7 +145,7 @@ def confirmed(marked: DataFrame, parts: int) -> DataFrame:
                 r["phrase"], r["window"], r["doc"] = phrase, window, ids[i:j][w.row_of_word()[start]] if len(start) else 0
                 r = _extremes(r)
                 rows = []
-                part = (mix(r["phrase"].copy()) % np.uint64(parts)).astype(np.int64)
+                part = (mix(r["phrase"] ^ mix(r["window"])) % np.uint64(parts)).astype(np.int64)
                 for p, cut in _cuts(part):
                     rows.append((p, b"".join(r[f][cut].tobytes() for f in r.dtype.names), b""))
                 first = mine[own[at[i] : at[j]]]
@@ -155,18 +157,12 @@ def confirmed(marked: DataFrame, parts: int) -> DataFrame:
                     place = order[np.minimum(np.searchsorted(every[order], first), len(order) - 1)]
                     raw = w.data.tobytes()
                     said = [b" ".join(raw[a:b].split()) for a, b in zip(w.starts[place].tolist(), w.ends[place + PHRASE - 1].tolist(), strict=True)]
-                    part = (mix(first.copy()) % np.uint64(parts)).astype(np.int64)
-                    for p, cut in _cuts(part):
-                        rows.append((p, first[cut].tobytes(), b"\n".join(said[c] for c in cut.tolist())))
+                    rows.append((None, first.tobytes(), b"\n".join(said)))
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.int32()), pa.array([x[1] for x in rows], pa.binary()), pa.array([x[2] for x in rows], pa.binary())], ["part", "raw", "said"])
 
     def reduce(group: pa.Table) -> pa.Table:
-        text: dict[int, bytes] = {}
         records = [np.zeros(0, _RECORD)]
-        for raw, said in zip(group.column("raw").to_pylist(), group.column("said").to_pylist(), strict=True):
-            if said:
-                text.update(zip(np.frombuffer(raw, "<u8").tolist(), said.split(b"\n"), strict=True))
-                continue
+        for raw in group.column("raw").to_pylist():
             n = len(raw) // _RECORD.itemsize
             r = np.zeros(n, _RECORD)
             for k, f in enumerate(_RECORD.names):
@@ -178,13 +174,22 @@ def confirmed(marked: DataFrame, parts: int) -> DataFrame:
             twice[:-1] = (r["phrase"][1:] == r["phrase"][:-1]) & (r["window"][1:] == r["window"][:-1]) & (r["doc"][1:] > r["doc"][:-1])
         r = r[twice]
         new = np.flatnonzero(np.concatenate([[True], r["phrase"][1:] != r["phrase"][:-1]])) if len(r) else np.zeros(0, np.int64)
-        ends = np.append(new[1:], len(r))
-        phrases = r["phrase"][new]
+        ends = np.append(new[1:], len(r))[: len(new)]
         packed = [r["window"][a:b].tobytes() + r["doc"][a:b].tobytes() for a, b in zip(new, ends, strict=True)]
-        return pa.table({"phrase": pa.array(phrases.view(np.int64)), "words": pa.array([text[p] for p in phrases.tolist()], pa.binary()), "windows": pa.array(packed, pa.binary())})
+        return pa.table({"phrase": pa.array(r["phrase"][new].view(np.int64)), "windows": pa.array(packed, pa.binary())})
 
-    dealt = over_texts(marked.select("doc_id", "text", "phrases"), deal, "part int, raw binary, said binary")
-    return dealt.groupBy("part").applyInArrow(reduce, "phrase long, words binary, windows binary")
+    def spell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw, said = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            words = [x for y in said for x in y.split(b"\n")]
+            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(b"".join(raw), "<i8")), pa.array(words, pa.binary())], ["phrase", "words"])
+
+    dealt = stored(over_texts(marked.select("doc_id", "text", "phrases"), deal, "part int, raw binary, said binary"))
+    found = stored(dealt.where("part is not null").select("part", "raw").groupBy("part").applyInArrow(reduce, "phrase long, windows binary"))
+    words = dealt.where("part is null").select("raw", "said").mapInArrow(spell, "phrase long, words binary").dropDuplicates(["phrase"])
+    out = stored(found.join(words, "phrase").select("phrase", "words", "windows"))
+    discard(dealt, found)
+    return out
 
 
 def _cuts(part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -303,7 +308,7 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     texts = docs.select("doc_id", "text").join(small(ids, listed.count(), BROADCAST_IDS), "doc_id", "left_semi")
     marked = stored(_same_text(texts.join(listed, "doc_id")))
     records = marked.agg(F.sum(F.octet_length("text")).alias("b")).first()["b"] or 0
-    patterns = stored(confirmed(marked, max(1, int(records / 6 / TASK_RECORDS))))
+    patterns = confirmed(marked, max(1, int(records / 6 / TASK_RECORDS)))
     cut = stored(located(marked, patterns))
     rows = seen.join(reps, ["f1", "f2", "n_words"], "left").join(cut.dropDuplicates(["doc_id", "f1"]), ["doc_id", "f1"], "left")
     copy = F.col("rep").isNotNull() & (F.col("rep") < F.col("doc_id"))

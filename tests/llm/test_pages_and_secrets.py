@@ -142,3 +142,29 @@ def test_no_rule_is_quadratic(piece):
     start = time.process_time()
     secret_scan.find_spans(pa.array([text]))
     assert time.process_time() - start < 20
+
+
+def test_passages_with_a_hot_phrase_over_many_groups(spark, monkeypatch):
+    """Texts that share twenty words, so that one phrase is named by windows of all, and some whole passages."""
+    from panelry.llm import passages
+
+    monkeypatch.setattr(passages, "TASK_RECORDS", 20)
+    rnd = random.Random(4)
+    words = lambda n: [f"w{rnd.randrange(10**6)}" for _ in range(n)]
+    hot, long_ = words(20), words(70)
+    texts = [words(40) + hot + words(45) for _ in range(150)]
+    for i in range(0, 150, 5):
+        texts[i] = words(10) + long_ + texts[i]
+    texts += [texts[7], texts[5][:80], None and [], long_[:49]]
+    rows = [(i, None if t is None else " ".join(t)) for i, t in enumerate(texts)]
+    got = {r.doc_id: (r.n_words, r.n_removed, r.kept_sha256) for r in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    first, want = {}, {}
+    for i, text in rows:
+        for k in range(len((text or "").split()) - 49):
+            first.setdefault(tuple(text.split()[k : k + 50]), i)
+    for i, text in rows:
+        said = (text or "").split()
+        gone = {k + j for k in range(len(said) - 49) if first[tuple(said[k : k + 50])] < i for j in range(50)}
+        kept = " ".join(w for j, w in enumerate(said) if j not in gone)
+        want[i] = (len(said), len(gone), hashlib.sha256(kept.encode()).hexdigest())
+    assert got == want and sum(w[1] > 0 for w in want.values()) > 25
