@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
-from functools import lru_cache
+from functools import lru_cache, wraps
 
 import numpy as np
 import pyarrow as pa
@@ -111,6 +112,18 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def plain_names(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """For operators that keep all columns: names that would have to be quoted, as `a.b`, are others while it works."""
+
+    @wraps(operator)
+    def run(docs: DataFrame, *args, **options) -> DataFrame:
+        odd = {c: free_name(docs, f"_odd{i}") for i, c in enumerate(docs.columns) if not re.fullmatch(r"\w+", c)}
+        out = operator(docs.withColumnsRenamed(odd), *args, **options)
+        return out.withColumnsRenamed({v: c for c, v in odd.items()})
+
+    return run
+
+
 def string_type(batch_column: pa.ChunkedArray | pa.Array) -> pa.Array:
     col = batch_column.combine_chunks() if isinstance(batch_column, pa.ChunkedArray) else batch_column
     return pc.fill_null(col, "")

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Words, free_name, over_texts, steps, text_bytes
+from .common import Words, free_name, over_texts, plain_names, steps, text_bytes
 
 #: Hash buckets of words, factors, and the labelled rows that training reads at most (the bound of its sample).
 BUCKETS, FACTORS, SAMPLE = 1 << 15, 8, 6000
@@ -186,6 +186,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", limit: int =
     return train(x, np.array([r[1] for r in got], np.float64))
 
 
+@plain_names
 def score(docs: DataFrame, machine: Machine | None, text: str = "text", length: str = "n_chars") -> DataFrame:
     """Adds score (0 to 1) to every row. A null text counts as empty: statistics alone still score it. Without a machine all score 0.5.
 

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Words, discard, free_name, mix, over_texts, small, steps, stored, text_bytes
+from .common import Words, discard, free_name, mix, over_texts, plain_names, small, steps, stored, text_bytes
 
 #: Fixed values of the base rules.
 MIN_WORDS, WINDOW, REPEAT_PERCENT = 10, 5, 20
@@ -76,6 +76,7 @@ def measure_texts(column: pa.Array) -> dict[str, np.ndarray]:
     return found
 
 
+@plain_names
 def with_measures(df: DataFrame, text: str = "text", keep_text: bool = False) -> DataFrame:
     """Adds the five measures (and drops the text unless told otherwise); columns of the same names are replaced.
 
@@ -148,6 +149,7 @@ def judge(measured: DataFrame, host: str, limit: float = HOST_LIMIT) -> DataFram
     return joined.select(*measured.columns, base_failed().alias("base_failed"), (~base_failed() & F.col(name).isNull()).alias("kept"))
 
 
+@plain_names
 def keep_good(docs: DataFrame, host: str = "source", limit: float = HOST_LIMIT) -> DataFrame:
     """The documents that pass, all columns unchanged, whatever their names. Texts are measured twice and never shuffled.
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import over_texts
+from .common import over_texts, plain_names
 from .html_pages import labelled_pages
 
 #: Elements that start a block, and those whose text is never shown.
@@ -332,6 +332,7 @@ def main_texts(pages: list[str | None], model: Model) -> list[str]:
     return out
 
 
+@plain_names
 def extract(pages: DataFrame, model: Model | None = None, html: str = "html") -> DataFrame:
     """Adds text and n_chars to the pages and drops the html; columns of those names are replaced.
 

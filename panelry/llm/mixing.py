@@ -108,13 +108,19 @@ def with_copies(rows: DataFrame, ends: DataFrame, hex_digits: str = "hex", *, na
 
 
 def decide(rows: DataFrame, **options) -> DataFrame:
+    """The rows of keyed() with source_size, target and copies.
+
+    A null or empty text has size 0 and is never taken; a null source is a source; repeated rows are taken alike; an empty
+    table gives no rows.
+    """
     return with_copies(rows, source_ends(rows, **options))
 
 
 def mixed(docs: DataFrame, **options) -> DataFrame:
     """The documents as the mix takes them: absent, once, or as many rows as copies; columns stay as they are.
 
-    Texts are read twice, to size them and to copy them, and never shuffled. Extra columns may have any name.
+    Texts are read twice, to size them and to copy them, and never shuffled. Extra columns may have any name. Null and empty
+    texts go, repeated rows are taken alike, and an empty table stays empty.
     """
     ends = source_ends(keyed(docs), **options)
     place = {c: f"_c{i}" for i, c in enumerate(docs.columns) if c not in ("doc_id", "source")}

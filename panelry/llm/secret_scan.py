@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import lower_ascii, over_texts, steps, text_bytes
+from .common import lower_ascii, over_texts, plain_names, steps, text_bytes
 
 #: Most strings that one stretch of a pattern is expanded to.
 EXPAND = 64
@@ -254,10 +254,12 @@ def masked(text: str, spans: list[tuple[int, int, int]], mask: str) -> str:
     return "".join([*out, text[at:]])
 
 
+@plain_names
 def redact(docs: DataFrame, text: str = "text", length: str = "n_chars", mask: str = "[SECRET]", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The documents with every found span replaced by the mask, and their length brought up to date.
 
-    Documents without spans, null texts and all other columns stay as they are.
+    Documents without spans, null texts and all other columns, whatever their names, stay as they are. Repeated rows are
+    masked each; an empty table stays empty.
     """
     names = docs.columns
 

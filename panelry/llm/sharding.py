@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import free_name, gapless, hash_bits
+from .common import free_name, gapless, hash_bits, plain_names
 
 #: Hex digits of md5(key) that seed the jumps: 60 bits.
 KEY_DIGITS = 15
@@ -37,6 +37,7 @@ def jump(keys: np.ndarray, shards: int) -> np.ndarray:
     return place
 
 
+@plain_names
 def with_shards(df: DataFrame, key: str, shards: dict[str, int]) -> DataFrame:
     """Adds one int column per entry of `shards` (name to number of shards); columns of those names are replaced.
 

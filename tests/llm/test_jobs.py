@@ -35,7 +35,7 @@ ODD = [None, "", "   \n ", "one", "one two", "one two", "x" * 5000, "a b c d e f
 
 
 #: Names that operators use for columns of their own.
-CLASHES = ["copies", "_id", "_host", "_s", "_mine", "_many", "_label", "_bits", "_rank", "_mark", "_part", "kept", "base_failed", "hex", "rank", "rep", "node", "root", "size", "spans", "place", "score"]
+CLASHES = ["copies", "_id", "_host", "_s", "_mine", "_many", "_label", "_bits", "_rank", "_mark", "_part", "kept", "base_failed", "hex", "rank", "rep", "node", "root", "size", "spans", "place", "score", "a.b", "x y"]
 
 
 @pytest.fixture(scope="module")
