@@ -20,22 +20,27 @@ from panelry.llm.secret_scan import redact
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the base rules or their source's verdict reject go: null, empty and very short texts among them. Repeated rows share their fate."""
     return keep_good(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near-duplicates the smallest doc_id stays. Rows without doc_id or words stay; an empty table stays empty."""
     return keep_one(docs)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Spans are masked in place; rows and columns stay, null texts too."""
     return redact(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows come out as often as the mix takes them; null and empty texts, which have no words, never."""
     return mixed(docs)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row as pieces in sequences; a null or empty text is the end id alone. Other columns end here."""
     return pack(docs)
 
 
