@@ -136,6 +136,7 @@ def _rejected(measured: DataFrame, host: str, limit: float, name: str) -> tuple[
     return bad, bad.count()
 
 
+@plain_names
 def judge(measured: DataFrame, host: str, limit: float = HOST_LIMIT) -> DataFrame:
     """Adds base_failed and kept to measured rows: kept unless a base rule or the host's verdict speaks against it.
 
