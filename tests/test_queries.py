@@ -20,7 +20,7 @@ def test_query_equals_sql(spark, sf_dir, con, name):
 def small_models(monkeypatch):
     """Small trees: the sizes of the registered queries take minutes."""
     monkeypatch.setattr("panelry.plans.q_evaluate.FOREST", (20, 6))
-    monkeypatch.setattr("panelry.plans.q_evaluate.BOOSTED", (12, 3))
+    monkeypatch.setattr("panelry.plans.q_evaluate.BOOSTED", (36, 3))
 
 
 def test_queries_without_sql_are_those_of_models():
