@@ -10,6 +10,7 @@ from panelry.functions import scalars
 from panelry.operators import align, clean, graph, models, prepare, scoring, split, validate
 from panelry.operators import grid as g
 from panelry.operators import metrics as m
+from panelry.operators.store import stored
 from panelry.plans.feature_table import build_feature_table
 from panelry.sources import formats
 
@@ -393,3 +394,20 @@ def test_feature_table_exchanges_its_rows_twice(spark):
     exchanges = [x for x in plan.splitlines() if "Exchange hashpartitioning" in x and "timestamp" in x or "_block" in x and "Exchange hashpartitioning" in x]
     assert len([x for x in exchanges if "_block" in x]) == 1
     assert len([x for x in exchanges if "REPARTITION_BY_COL" in x]) == 1
+
+
+def test_experiments_write_scores_only(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr("panelry.operators.models.stored", lambda df: written.append(df.columns) or stored(df))
+    df = split.chronological_split(series(spark, [float(i % 7) for i in range(60)])).withColumns({"y": F.lead("pm25", 1).over(g.over()), "z": F.lag("pm25", 1).over(g.over())})
+    models.experiment(df, ["pm25"], ["y"], {"y": "pm25"}, {"linear": models.linear()})
+    rows = models.ablation(df, {"A": ["pm25"], "B": ["pm25", "z"]}, "y", "pm25", models.linear).collect()
+    assert {r.model for r in rows} == {"A", "B"} and len(rows) == 6
+    assert written and all("rmse" in columns for columns in written)
+
+
+def test_messages_keep_the_own_columns(spark):
+    df = spark.createDataFrame([(1, 0, 1.0, "a"), (2, 0, 3.0, "b"), (3, 0, None, None), (1, 1, 5.0, "c")], "station_id long, timestamp long, x double, name string")
+    edges = spark.createDataFrame([(1, 2)], "station_id long, neighbor_station_id long")
+    got = graph.message_mean(df, edges, ["x"], hops=1, keep=["x", "name"]).collect()
+    assert {tuple(r) for r in got} == {(1, 0, 1.0, "a", 3.0), (2, 0, 3.0, "b", 1.0), (3, 0, None, None, None), (1, 1, 5.0, "c", None)}
