@@ -10,8 +10,13 @@ from panelry.functions.scalars import EARTH_KM, haversine
 
 #: Dimension rows that a broadcast is still fit for.
 BROADCAST_ROWS = 200_000
-#: Columns of a cube's number, and the level whose cubes (4 ** 7 km) are wider than the earth.
-CELL, TOP_LEVEL = ("_x", "_y", "_z"), 7
+#: Columns of a cube's number, the levels of the smallest own cubes (2 ** -2 km) and of those that are wider than the earth
+#: (2 ** 14 km), and how many levels down each of the two steps of the nearest search goes.
+CELL, LOW_LEVEL, TOP_LEVEL, STEP = ("_x", "_y", "_z"), -2, 14, 4
+#: Where cubes start on each axis: one cube of the top level holds the earth, and every cube lies in one of each larger size.
+CORNER_KM = 7919.37
+#: Bounds of distances (km of chord) are kept apart by more than their rounding.
+SLACK_KM = 1e-3
 #: Sizes of cubes that the search of k neighbours halves max_km into: 100 km end at 10 cm.
 KNN_LEVELS = 20
 
@@ -22,15 +27,19 @@ def dimension(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if n <= BROADCAST_ROWS else df
 
 
+def _axes(lat: str, lon: str) -> list[Column]:
+    """A place on the earth's surface in km from its centre."""
+    phi, lam = F.radians(lat), F.radians(lon)
+    return [axis * EARTH_KM for axis in (F.cos(phi) * F.cos(lam), F.cos(phi) * F.sin(lam), F.sin(phi))]
+
+
 def _cells(lat: str, lon: str, side: Column | float, shift: Column | float = 0.0) -> list[Column]:
     """Cube numbers of a place on the earth's surface, cubes side km wide.
 
     A chord is never longer than the arc, so places within side km lie in the same or in touching cubes, across the
     antimeridian and at the poles as anywhere else.
     """
-    phi, lam = F.radians(lat), F.radians(lon)
-    axes = (F.cos(phi) * F.cos(lam), F.cos(phi) * F.sin(lam), F.sin(phi))
-    return [F.floor(axis * EARTH_KM / side + shift).alias(n) for axis, n in zip(axes, CELL, strict=True)]
+    return [F.floor(axis / side + shift).alias(n) for axis, n in zip(_axes(lat, lon), CELL, strict=True)]
 
 
 def _around(df: DataFrame) -> DataFrame:
@@ -45,22 +54,37 @@ def nearest_join(points: DataFrame, stations: DataFrame, point_id: str, station_
     """For each point and parameter the nearest station (ties: smaller id) and its distance in km; none: no row.
 
     Points carry lat, lon; stations carry lat, lon and the columns of `by`. Null places and parameters meet nobody. Stations
-    stand in cubes of several sizes, each four times the one before; the largest holds the earth. The smallest own cube
-    of a point with a station in it bounds the distance by its diagonal, so the nearest one is in the cubes around the
-    point one size up. Both joins are on cube numbers, never on all pairs.
+    stand in cubes of several sizes, each twice the one before; the largest holds the earth. The smallest own cube
+    of a point with a station in it bounds the distance by its diagonal, less than twice its side, so the nearest one is in
+    the cubes around the point one size up. A point far from all stations has large cubes with many of them, so two steps
+    go down to cubes of 1/16 and 1/256 of the side and keep those whose box of stations begins no farther than the nearest
+    box ends. Of stations at one place only the smallest id can be anyone's nearest. All joins are on cube numbers.
     """
-    level = F.explode(F.sequence(F.lit(0), F.lit(TOP_LEVEL))).alias("_level")
-    # Grids of different sizes do not share their borders: a point close to one is inside the others. The top cube is
-    # centred on the earth, so every point has a station in its own cube there.
-    side, shift = F.pow(F.lit(4.0), F.col("_level")), 0.5 + 0.37 * (TOP_LEVEL - F.col("_level"))
-    placed = lambda df: df.where("lat is not null and lon is not null").select("*", level).select("*", *_cells("lat", "lon", side, shift))
-    p = placed(points.select(F.col(point_id).alias("_pid"), "lat", "lon").distinct())
-    s = placed(stations.select(*by, F.col(station_id).alias("_sid"), "lat", "lon")).withColumnsRenamed({"lat": "_lat", "lon": "_lon"})
-    settled = s.select(*by, "_level", *CELL).distinct()
-    first = p.join(settled, ["_level", *CELL]).groupBy("_pid", "lat", "lon", *by).agg(F.min("_level").alias("_first"))
-    up = first.withColumn("_level", F.least(F.col("_first") + 1, F.lit(TOP_LEVEL)))
-    near = _around(up.select("*", *_cells("lat", "lon", side, shift))).join(s, [*by, "_level", *CELL])
-    near = near.withColumn("_d", haversine("lat", "lon", "_lat", "_lon"))
+    places = stations.where("lat is not null and lon is not null").groupBy(*by, "lat", "lon").agg(F.min(station_id).alias("_sid"))
+    side = lambda level: F.pow(F.lit(2.0), level)
+    levels = lambda low, high: F.explode(F.sequence(F.lit(low), F.lit(high))).alias("_level")
+    numbers = lambda df: df.withColumns({c: F.floor((F.col(f"{c}km") + CORNER_KM) / side(F.col("_level"))) for c in CELL})
+    axes = lambda lat, lon: {f"{c}km": a for c, a in zip(CELL, _axes(lat, lon), strict=True)}
+    p = points.select(F.col(point_id).alias("_pid"), "lat", "lon").where("lat is not null and lon is not null").distinct().withColumns(axes("lat", "lon"))
+    s = places.withColumnsRenamed({"lat": "_lat", "lon": "_lon"}).withColumns(axes("_lat", "_lon"))
+    settled = numbers(s.select(*by, *axes("_lat", "_lon"), levels(LOW_LEVEL, TOP_LEVEL))).select(*by, "_level", *CELL).distinct()
+    place = ["_pid", "lat", "lon", *axes("lat", "lon")]
+    first = numbers(p.select("*", levels(LOW_LEVEL, TOP_LEVEL))).join(settled, ["_level", *CELL]).groupBy(*place, *by).agg(F.min("_level").alias("_first"))
+    near = _around(numbers(first.withColumn("_level", F.least(F.col("_first") + 1, F.lit(TOP_LEVEL))).drop("_first")))
+    # Boxes of the stations of a cube, by the number of the cube that is STEP levels larger.
+    low = LOW_LEVEL + 1 - 2 * STEP
+    ends = [f(f"{c}km").alias(f"{c}{n}") for c in CELL for n, f in (("low", F.min), ("high", F.max))]
+    boxes = numbers(s.select(*by, *axes("_lat", "_lon"), levels(low, TOP_LEVEL - STEP))).groupBy(*by, "_level", *CELL).agg(*ends)
+    boxes = boxes.withColumnsRenamed({c: f"{c}in" for c in CELL}).withColumns({c: F.floor(F.col(f"{c}in") / 2**STEP) for c in CELL}).withColumn("_level", F.col("_level") + STEP)
+    length = lambda parts: F.sqrt(parts[0] * parts[0] + parts[1] * parts[1] + parts[2] * parts[2])
+    begins = length([F.greatest(F.col(f"{c}low") - F.col(f"{c}km"), F.col(f"{c}km") - F.col(f"{c}high"), F.lit(0.0)) for c in CELL])
+    reach = length([F.greatest(F.abs(F.col(f"{c}low") - F.col(f"{c}km")), F.abs(F.col(f"{c}high") - F.col(f"{c}km"))) for c in CELL])
+    for _ in range(2):
+        met = near.join(boxes, [*by, "_level", *CELL]).select(*place, *by, (F.col("_level") - STEP).alias("_level"), *[F.col(f"{c}in").alias(c) for c in CELL], begins.alias("_begins"), reach.alias("_reach"))
+        bound = F.min("_reach").over(W.partitionBy("_pid", "lat", "lon", *by))
+        near = met.withColumn("_bound", bound).where(F.col("_begins") <= F.col("_bound") + SLACK_KM).drop("_begins", "_reach", "_bound")
+    last = numbers(s.select(*by, "_sid", "_lat", "_lon", *axes("_lat", "_lon"), levels(low, TOP_LEVEL - 2 * STEP))).drop(*axes("_lat", "_lon"))
+    near = near.join(last, [*by, "_level", *CELL]).withColumn("_d", haversine("lat", "lon", "_lat", "_lon"))
     best = near.groupBy("_pid", *by).agg(F.min(F.struct("_d", "_sid")).alias("_m"))
     return best.select(F.col("_pid").alias(point_id), *by, F.col("_m._sid").alias(station_id), F.col("_m._d").alias("distance_km"))
 

@@ -411,3 +411,23 @@ def test_messages_keep_the_own_columns(spark):
     edges = spark.createDataFrame([(1, 2)], "station_id long, neighbor_station_id long")
     got = graph.message_mean(df, edges, ["x"], hops=1, keep=["x", "name"]).collect()
     assert {tuple(r) for r in got} == {(1, 0, 1.0, "a", 3.0), (2, 0, 3.0, "b", 1.0), (3, 0, None, None, None), (1, 1, 5.0, "c", None)}
+
+
+def test_nearest_join_far_and_dense(spark, monkeypatch):
+    """6,000 stations on two by three degrees, 50 at one place; points among them, 200 km away, and at the other end of the
+    earth: the right station, and few of them met."""
+    sites = [(i, "p", 50.0 + (i * 37 % 199) / 100, 9.0 + (i * 53 % 307) / 100) for i in range(6000)] + [(9000 + i, "p", 50.0, 9.0) for i in range(50)]
+    points = [(i, 50.003 + i * 0.1, 9.002 + i * 0.15) for i in range(20)] + [(100 + i, 53.8 + i * 0.1, 9.0 + i * 0.15) for i in range(20)]
+    odd = [(200, -50.004, -171.0), (201, 90.0, 0.0), (202, 0.0, 180.0), (203, 50.0, 9.0)]
+    s = spark.createDataFrame(sites, "sid long, parameter string, lat double, lon double")
+    p = spark.createDataFrame(points + odd, "pid long, lat double, lon double")
+    got = {r.pid: (r.sid, r.distance_km) for r in align.nearest_join(p, s, "pid", "sid", ["parameter"]).collect()}
+    pairs = p.crossJoin(s.withColumnsRenamed({"lat": "_lat", "lon": "_lon"}))
+    far = pairs.groupBy("pid").agg(F.min(F.struct(scalars.haversine("lat", "lon", "_lat", "_lon").alias("d"), "sid")).alias("m")).collect()
+    assert got == {r.pid: (r.m.sid, r.m.d) for r in far}
+    # A distance that counts how often it is asked for: points far away met every station before.
+    met = F.udf(lambda a, b, c, d: seen.add(1) or 1.0, "double").asNondeterministic()
+    seen = spark.sparkContext.accumulator(0)
+    monkeypatch.setattr(align, "haversine", lambda *a: met(*a))
+    align.nearest_join(p.where("pid < 200"), s, "pid", "sid", ["parameter"]).collect()
+    assert 40 <= seen.value < 40 * 600
