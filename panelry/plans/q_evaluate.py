@@ -342,9 +342,14 @@ def sequence_windows(spark, sf):
     """Windows of 24 hours and 15 channels: of each channel its values, and their sum weighted by their place."""
     f = prepare.missing_mask(_everything(spark, sf), MASKED)
     w = prepare.sequence_windows(f, _ALL_CHANNELS, 24, ["target_pm25_h1"])
-    each = w.select("station_id", "timestamp", F.posexplode("window").alias("place", "row"))
-    cells = [x for i, c in enumerate(_ALL_CHANNELS) for x in (F.count(F.get("row", F.lit(i))).alias(f"n_{c}"), F.sum(F.get("row", F.lit(i)) * (F.col("place") + 1)).alias(f"sum_{c}"))]
-    return rounded(each.groupBy("station_id", "timestamp").agg(*cells), 6)
+
+    def cells(i: int, c: str) -> list:
+        known = F.size(F.filter("window", lambda row: F.get(row, F.lit(i)).isNotNull())).cast("long")
+        weighted = F.transform("window", lambda row, place: F.coalesce(F.get(row, F.lit(i)) * (place + 1), F.lit(0.0)))
+        total = F.aggregate(weighted, F.lit(0.0), lambda a, x: a + x)
+        return [known.alias(f"n_{c}"), F.when(known > 0, total).alias(f"sum_{c}")]
+
+    return rounded(w.select("station_id", "timestamp", *[x for i, c in enumerate(_ALL_CHANNELS) for x in cells(i, c)]), 6)
 
 
 def _share_null(c: str) -> str:

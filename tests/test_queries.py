@@ -64,3 +64,9 @@ def test_entry(spark):
 
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_sequence_windows_are_summed_where_they_are(spark, sf_dir):
+    """No window is taken apart into rows and grouped again."""
+    plan = registry.QUERIES["sequence_windows"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode" not in plan
